@@ -10,10 +10,10 @@ its bins are full: later rounds only bring larger values.
 
 Sketches are cut into bands of ROWS coordinates. Documents that share a band
 are candidates. Within a band's bucket every member is verified exactly against
-the bucket's least document; only members that fail are verified against all
-other members. Two members that both match the least one are connected
-already, so the components equal those of verifying all pairs of the bucket,
-while a bucket of near copies costs as many checks as it has members.
+one leader, drawn by a hash; only members that fail are verified against all
+other members. Two members that both match the leader are connected already, so
+the components equal those of verifying all pairs of the bucket, while a bucket
+of m near copies and a few others costs in the order of m checks.
 
 Documents with the same words in the same order are collapsed before banding.
 Chance that a pair of Jaccard s shares no band: (1 - s^ROWS)^(BINS / ROWS), that
@@ -174,12 +174,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rep, p2 = store(seen.join(same, ["d1", "d2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "copies")
     copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     members = rep.where("doc_id = rep").dropDuplicates(["doc_id", "keys"]).select("doc_id", F.explode("keys").alias("band"))
-    buckets = members.withColumn("least", F.min("doc_id").over(W.partitionBy("band")))
-    buckets, p3 = store(buckets.where("doc_id <> least"), "buckets")
-    first, p4 = store(buckets.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
+    lead = F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), F.col("doc_id").alias("id"))).over(W.partitionBy("band"))
+    buckets = members.withColumn("lead", lead["id"]).withColumn("size", F.count("*").over(W.partitionBy("band")))
+    buckets, p3 = store(buckets.where("size > 1").drop("size"), "buckets")
+    first, p4 = store(buckets.where("doc_id <> lead").select(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b")).distinct(), "pairs")
     checked, p5 = verify(base, first)
-    failed = checked.where(F.col("jaccard") < threshold).select(F.col("a").alias("doc_id"), F.col("b").alias("least"))
-    lost = buckets.join(failed, ["doc_id", "least"], "left_semi").select(F.col("doc_id").alias("x"), "band")
+    failed = checked.where(F.col("jaccard") < threshold).select("a", "b")
+    led = buckets.where("doc_id <> lead").select("band", F.col("doc_id").alias("x"), F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b"))
+    lost = led.join(failed, ["a", "b"], "left_semi").select("x", "band")
     rest = lost.join(buckets.select("doc_id", "band"), "band").where("x <> doc_id")
     rest = rest.select(F.greatest("x", "doc_id").alias("a"), F.least("x", "doc_id").alias("b")).distinct()
     second, p6 = store(rest.join(first, ["a", "b"], "left_anti"), "pairs")

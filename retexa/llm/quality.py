@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retexa.llm import textkit as K
 from retexa.session import discard, store
@@ -169,7 +170,7 @@ def _threshold(docs: DataFrame, models: Models, seed: int) -> int | None:
 def resample(docs: DataFrame, labels: DataFrame, max_target: int = 10000, seed: int = 6) -> DataFrame:
     """The sampled rows of docs with log_weight and gumbel_key added."""
     models = learn(docs, labels, max_target)
-    schema = docs.schema.add("log_weight", "double").add("gumbel_key", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType())])
     if models is None:
         return docs.withColumns({"log_weight": F.lit(0.0), "gumbel_key": F.lit(0.0)})
     least = _threshold(docs, models, seed)

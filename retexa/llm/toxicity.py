@@ -30,6 +30,8 @@ from retexa.llm import textkit as K
 
 U = np.uint64
 PREFIXES = (4, 5, 6, 7)
+#: A document is flagged from this probability on.
+THRESHOLD = 0.5
 STOP = np.zeros(256, bool)
 STOP[[10, 33, 46, 63]] = True
 SENTENCE = "array<struct<sentence:int,start:int,stop:int,score:double,text:string>>"
@@ -128,7 +130,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, least: int = 5,
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], min(bias - move[-1], -3.0)
     positive = w > 0.05
-    return Model(keys[keep][positive], w[positive], float(bias), 0.35)
+    return Model(keys[keep][positive], w[positive], float(bias), THRESHOLD)
 
 
 def score(model: Model, texts: pa.Array):
