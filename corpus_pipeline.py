@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retexa.llm import minhash, quality, toxicity
+from retexa.llm import bpe, minhash, mixing, quality, toxicity
+from retexa.llm.catalog import ALPHA, RATE, SEED, TARGETS
 from retexa.session import store
 
 
@@ -27,10 +28,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return minhash.keep_first(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights of source, language and topic."""
+    return mixing.mix(docs, TARGETS, RATE, ALPHA, SEED).select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their tokens, their number and whether they decode to the text."""
+    return bpe.encode(docs, check=True)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality classifier", keep_quality),
     ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", tokenise),
 ]
 #: Sketches, trained models and BPE are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
