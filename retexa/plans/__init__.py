@@ -1 +1 @@
-
+"""Plans that span several operators."""

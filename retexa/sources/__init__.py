@@ -1 +1 @@
-
+"""Readers of text formats and writers of results."""

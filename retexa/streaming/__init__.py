@@ -1 +1 @@
-
+"""Streams of documents against a fixed index."""
