@@ -15,6 +15,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Runs of letters and digits; the same in Java's and RE2's syntax.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -43,7 +44,7 @@ def joined(ws: Column, name: str = "token") -> Column:
     return F.array_join(F.transform(ws, lambda w: w[name]), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_marks(text: pd.Series) -> pd.Series:
     """Without diacritics: canonical decomposition less the combining marks."""
     return text.str.normalize("NFD").str.replace(r"[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯]", "", regex=True)
