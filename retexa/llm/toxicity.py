@@ -83,12 +83,32 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, *K.buffers(column.slice(i, j - i))
 
 
+def _tells(pos: np.ndarray, neg: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """Features whose share of toxic documents is far above chance."""
+    p1, p0 = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((~y).sum() + 1)
+    score = (pos / max(y.sum(), 1) - neg / max((~y).sum(), 1)) / np.sqrt(p1 / max(y.sum(), 1) + p0 / max((~y).sum(), 1))
+    return (pos >= least) & (score > 3.5) & (p1 > 4 * p0)
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, least: int = 5, epochs: int = 300) -> Model:
     """Noisy-or by full-batch gradient descent over features that tell the classes apart."""
     low = K.text_column(texts, lower=True)
+    n, y = len(texts), toxic.astype(bool)
+    # first pass: which hash buckets can hold a feature that tells the classes apart,
+    # so that memory follows the features kept and not the words of the sample
+    bucket_pos, bucket_neg = np.zeros(1 << 22, np.int32), np.zeros(1 << 22, np.int32)
+    for i, b, offs in _texts(low):
+        r, _, _, _, o, h = features(b, offs)
+        for rows, count in ((y, bucket_pos), (~y, bucket_neg)):
+            mine = rows[r[o] + i] if len(o) else np.zeros(0, bool)
+            cell = np.unique((r[o[mine]] << 22) | (h[mine] >> U(42)).astype(np.int64)) & ((1 << 22) - 1)
+            count += np.bincount(cell, minlength=1 << 22).astype(np.int32)
+    apart = _tells(bucket_pos, bucket_neg, y, least)
     srow, feats, owners, base = [], [], [], 0
     for i, b, offs in _texts(low):
         r, _, _, _, o, h = features(b, offs)
+        own = np.flatnonzero(apart[(h >> U(42)).astype(np.int64)])
+        o, h = o[own], h[own]
         order = np.lexsort((h, o))
         o, h = o[order], h[order]
         new = np.ones(len(o), bool)
@@ -99,15 +119,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, least: int = 5,
         base += len(r)
     srow, owners, feats = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (srow, owners, feats))
     keys, at = np.unique(feats.astype(U), return_inverse=True)
-    n, y = len(texts), toxic.astype(bool)
     pair = np.unique(at * n + srow[owners]) if len(at) else np.zeros(0, np.int64)
     feature, doc = pair // max(n, 1), pair % max(n, 1)
     pos = np.bincount(feature[y[doc]], minlength=len(keys))
     neg = np.bincount(feature[~y[doc]], minlength=len(keys))
-    # a feature stays if its share of toxic documents is far above chance
-    p1, p0 = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((~y).sum() + 1)
-    score = (pos / max(y.sum(), 1) - neg / max((~y).sum(), 1)) / np.sqrt(p1 / max(y.sum(), 1) + p0 / max((~y).sum(), 1))
-    keep = np.flatnonzero((pos >= least) & (score > 3.5) & (p1 > 4 * p0))
+    keep = np.flatnonzero(_tells(pos, neg, y, least))
     index = np.full(len(keys), -1)
     index[keep] = np.arange(len(keep))
     used = index[at] >= 0 if len(at) else np.zeros(0, bool)
