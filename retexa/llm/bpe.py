@@ -280,12 +280,6 @@ def token_list(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return batch.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), count
 
 
-def extended(schema: T.StructType, *new: T.StructField) -> T.StructType:
-    """schema without the fields that new ones replace, then the new ones."""
-    names = {f.name.lower() for f in new}
-    return T.StructType([*(f for f in schema.fields if f.name.lower() not in names), *new])
-
-
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
     return K.blocks(K.text_column(column), BLOCK)
 
@@ -299,7 +293,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", check: b
     """docs with tokens and n_tokens; with check also round_trip, whether decoding
     the tokens gives the text again. One pass, no shuffle."""
     new = [TOKENS, COUNT, EXACT] if check else [TOKENS, COUNT]
-    schema = extended(docs.schema, *new)
+    schema = K.extended(docs.schema, *new)
     kept = [f.name for f in schema.fields[: -len(new)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +317,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", check: b
 
 def decode(docs: DataFrame, path: str = VOCABULARY, tokens: str = "tokens") -> DataFrame:
     """docs with decoded, the text of the tokens."""
-    schema = extended(docs.schema, T.StructField("decoded", T.StringType()))
+    schema = K.extended(docs.schema, T.StructField("decoded", T.StringType()))
     kept = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,7 +135,7 @@ _NEW = ("_mix_topic", "_mix_tokens", "_mix_p")
 def _marked(docs: DataFrame, topic: Column | None, tokens: Column | None) -> DataFrame:
     topic = content_type(F.col("text")) if topic is None else topic
     tokens = word_count(F.col("text")) if tokens is None else tokens
-    return docs.withColumns({"_mix_source": F.col("source"), "_mix_lang": F.col("lang"), "_mix_topic": topic, "_mix_tokens": tokens})
+    return docs.drop(*_NEW).withColumns({"_mix_source": F.col("source"), "_mix_lang": F.col("lang"), "_mix_topic": topic, "_mix_tokens": tokens})
 
 
 def mix(docs: DataFrame, targets: Targets, rate: float = 0.6, alpha: float = 0.5, seed: int = 3, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:

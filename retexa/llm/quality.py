@@ -19,7 +19,7 @@ Defined results: null and empty texts have log weight 0; rows with a null
 doc_id take part; repeated rows share one key and are kept or dropped together,
 as are ties at the k-th key (all kept); with no document labelled good, or none
 labelled otherwise, every row is kept; an empty table stays empty; other columns
-are carried along.
+are carried along, except that log_weight and gumbel_key are replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from retexa.llm import textkit as K
 from retexa.session import discard, store
 
 U = np.uint64
-BUCKETS = 1 << 14
+BUCKETS, PRIOR = 1 << 14, 1000
 
 
 def ngrams(b: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +88,11 @@ def counts(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mixture(raw: np.ndarray, good: np.ndarray, share: float) -> Models:
-    """Split the raw model into target and rest; add-one smoothing over buckets."""
-    target = (good + 1) / (good.sum() + len(good))
-    whole = (raw + 1) / (raw.sum() + len(raw))
+    """Split the raw model into target and rest. The target's counts are joined by
+    PRIOR n-grams of the raw model, so what few target texts lack is taken to be
+    as common there as anywhere."""
+    whole = (raw + 0.01) / (raw.sum() + 0.01 * len(raw))
+    target = (good + PRIOR * whole) / (good.sum() + PRIOR)
     rest = np.maximum(whole - share * target, 0.05 * whole)
     rest /= rest.sum()
     return Models(np.log(target) - np.log(rest), math.log(share / (1 - share)))
@@ -170,16 +172,17 @@ def _threshold(docs: DataFrame, models: Models, seed: int) -> int | None:
 def resample(docs: DataFrame, labels: DataFrame, max_target: int = 10000, seed: int = 6) -> DataFrame:
     """The sampled rows of docs with log_weight and gumbel_key added."""
     models = learn(docs, labels, max_target)
-    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType())])
+    schema = K.extended(docs.schema, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType()))
+    kept = [f.name for f in schema.fields[:-2]]
     if models is None:
-        return docs.withColumns({"log_weight": F.lit(0.0), "gumbel_key": F.lit(0.0)})
+        return docs.select(*kept, F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"))
     least = _threshold(docs, models, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             logw, key = keyed(models, batch, seed)
             keep = _ordered(key) >= least if least is not None else np.zeros(len(key), bool)
-            cols = [*batch.columns, pa.array(logw), pa.array(key)]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "log_weight", "gumbel_key"]).filter(pa.array(keep))
+            cols = [*(batch[c] for c in kept), pa.array(logw), pa.array(key)]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, "log_weight", "gumbel_key"]).filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)
