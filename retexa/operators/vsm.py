@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from retexa.session import store
 
@@ -19,9 +20,10 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def unit_length(weights: DataFrame) -> DataFrame:
-    """Each document's weights over their Euclidean norm."""
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, "id").select("id", "feature", (F.col("w") / F.col("norm")).alias("w"))
+    """Each document's weights over their Euclidean norm; a window, because a join
+    with aggregated norms would compute the weights twice."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
+    return weights.select("id", "feature", (F.col("w") / norm).alias("w"))
 
 
 def idf(*collections: DataFrame, double_count_self: bool = False, smooth: bool = True) -> DataFrame:
@@ -69,8 +71,10 @@ def tfidf_join(queries: DataFrame, index: DataFrame | None = None, threshold: fl
 
 def soft_cosine_join(queries: DataFrame, index: DataFrame, word_sims: DataFrame, threshold: float = 0.0, digits: int | None = None) -> DataFrame:
     """q S d / sqrt(q S q * d S d) for sparse rows and the edges (w1, w2, s) of S,
-    diagonal included. Undefined values are 0 and only kept at threshold 0 if a pair meets."""
-    edges = word_sims.select("w1", "w2", "s")
+    diagonal included. Undefined values are 0 and only kept at threshold 0 if a pair
+    meets. Each input is used two or three times, so it is computed once and written."""
+    queries, index = store(queries, "queries")[0], store(index, "index")[0]
+    edges = store(word_sims.select("w1", "w2", "s"), "edges")[0]
 
     def through(rows: DataFrame) -> DataFrame:
         hop = rows.join(edges, rows["feature"] == edges["w1"])
