@@ -37,7 +37,10 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # a small table in one file is one task; spread texts, whose tokenising is the work
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def coll(spark: SparkSession, d: str, name: str) -> DataFrame:
