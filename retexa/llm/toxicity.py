@@ -5,6 +5,10 @@ and their leading bytes) and scores p = sigmoid(b + sum of weights); a document
 is toxic with P = 1 - prod(1 - p). Only document labels train the weights, yet
 the fitted sentence scores say which sentences offend.
 
+Every feature of the sample is in the fit. What keeps a rare one from carrying
+noise is a prior on its weight, narrow where the labels say little and wider the
+more they do, so no count or size of table decides what can be learnt.
+
 Fitting uses at most ``max_per_class`` labelled documents of either class, taken
 in the order of a hash of doc_id; the rest of the work reads every document.
 
@@ -83,74 +87,58 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, *K.buffers(column.slice(i, j - i))
 
 
-def _tells(pos: np.ndarray, neg: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
-    """Features whose share of toxic documents is far above chance."""
-    p1, p0 = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((~y).sum() + 1)
-    score = (pos / max(y.sum(), 1) - neg / max((~y).sum(), 1)) / np.sqrt(p1 / max(y.sum(), 1) + p0 / max((~y).sum(), 1))
-    return (pos >= least) & (score > 3.5) & (p1 > 4 * p0)
+def _evidence(pos: np.ndarray, neg: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Prior deviation of each feature's weight: grows with how far its share of toxic
+    documents lies above that of clean ones, in standard errors, and is never 0."""
+    n1, n0 = max(y.sum(), 1), max((~y).sum(), 1)
+    p1, p0 = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
+    return (np.maximum((pos / n1 - neg / n0) / np.sqrt(p1 / n1 + p0 / n0), 0.1) / 3.5) ** 2
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, least: int = 5, epochs: int = 300) -> Model:
-    """Noisy-or by full-batch gradient descent over features that tell the classes apart."""
+def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, ridge: float = 0.1, epochs: int = 150) -> Model:
+    """Noisy-or by full-batch gradient descent over every feature of the sample. A
+    weight is its prior deviation times a number under a ridge; no feature is left out."""
     low = K.text_column(texts, lower=True)
     n, y = len(texts), toxic.astype(bool)
-    # first pass: which hash buckets can hold a feature that tells the classes apart,
-    # so that memory follows the features kept and not the words of the sample
-    bucket_pos, bucket_neg = np.zeros(1 << 22, np.int32), np.zeros(1 << 22, np.int32)
-    for i, b, offs in _texts(low):
-        r, _, _, _, o, h = features(b, offs)
-        for rows, count in ((y, bucket_pos), (~y, bucket_neg)):
-            mine = rows[r[o] + i] if len(o) else np.zeros(0, bool)
-            cell = np.unique((r[o[mine]] << 22) | (h[mine] >> U(42)).astype(np.int64)) & ((1 << 22) - 1)
-            count += np.bincount(cell, minlength=1 << 22).astype(np.int32)
-    apart = _tells(bucket_pos, bucket_neg, y, least)
-    srow, feats, owners, base = [], [], [], 0
+    bag, feats, first = [], [], []
     for i, b, offs in _texts(low):
         r, _, _, _, o, h = features(b, offs)
-        own = np.flatnonzero(apart[(h >> U(42)).astype(np.int64)])
-        o, h = o[own], h[own]
         order = np.lexsort((h, o))
         o, h = o[order], h[order]
         new = np.ones(len(o), bool)
         new[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
-        srow.append(r + i)
-        owners.append(o[new] + base)
+        bag.append((r + i).astype(np.int32))
         feats.append(h[new])
-        base += len(r)
-    srow, owners, feats = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (srow, owners, feats))
-    keys, at = np.unique(feats.astype(U), return_inverse=True)
-    pair = np.unique(at * n + srow[owners]) if len(at) else np.zeros(0, np.int64)
-    feature, doc = pair // max(n, 1), pair % max(n, 1)
-    pos = np.bincount(feature[y[doc]], minlength=len(keys))
-    neg = np.bincount(feature[~y[doc]], minlength=len(keys))
-    keep = np.flatnonzero(_tells(pos, neg, y, least))
-    index = np.full(len(keys), -1)
-    index[keep] = np.arange(len(keep))
-    used = index[at] >= 0 if len(at) else np.zeros(0, bool)
-    sentence, feature = owners[used], index[at[used]]
-    live, sentence = np.unique(sentence, return_inverse=True)
-    bag = srow[live]
-    w, bias = np.full(len(keep), 1.0), -4.0
-    m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
-    total = weight.sum()
-    others = np.bincount(srow, minlength=n) - np.bincount(bag, minlength=n)  # sentences without any kept feature
+        first.append(np.bincount(o[new], minlength=len(r)))
+    if not sum(len(x) for x in feats):
+        return Model(np.zeros(0, U), np.zeros(0), -3.0, THRESHOLD)
+    bag, size = np.concatenate(bag), np.concatenate(first)
+    keys, feature = np.unique(np.concatenate(feats), return_inverse=True)
+    del feats, first
+    feature = feature.astype(np.int32)
+    start = np.cumsum(size) - size  # every sentence holds a word, so none is empty
+    doc = np.repeat(bag, size)
+    pair = np.unique(feature.astype(np.int64) * n + doc)
+    mine = y[pair % n]
+    pos, neg = (np.bincount(pair[side] // n, minlength=len(keys)) for side in (mine, ~mine))
+    del pair, mine, doc
+    spread = _evidence(pos, neg, y)
+    u, bias = np.ones(len(keys)), -4.0
+    m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for step in range(1, epochs + 1):
-        s = bias + np.bincount(sentence, w[feature], minlength=len(live))
-        soft = np.logaddexp(0, s)
-        big = np.bincount(bag, soft, minlength=n) + others * np.logaddexp(0, bias)
-        slope = np.where(y, -1 / np.expm1(np.maximum(big, 1e-9)), 1.0) * weight
+        s = bias + np.add.reduceat((spread * u)[feature], start)
+        big = np.bincount(bag, np.logaddexp(0, s), minlength=n)
+        slope = np.where(y, -1 / np.expm1(np.clip(big, 1e-9, 500)), 1.0) * weight
         g = slope[bag] / (1 + np.exp(-s))
-        grad = np.append(np.bincount(feature, g[sentence], minlength=len(keep)), g.sum() + (slope * others).sum() / (1 + np.exp(-bias))) / total
-        grad[:-1] += 3e-5 * w
+        grad = np.append(np.bincount(feature, np.repeat(g, size), minlength=len(keys)) * spread + ridge * u, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, bias = w - move[:-1], min(bias - move[-1], -3.0)
-    positive = w > 0.05
-    return Model(keys[keep][positive], w[positive], float(bias), THRESHOLD)
+        u, bias = u - move[:-1], min(bias - move[-1], -3.0)
+    return Model(keys, spread * u, float(bias), THRESHOLD)
 
 
 def score(model: Model, texts: pa.Array):
-    """Per text: P, and its sentences with a kept feature as (row, ordinal, start, stop, score)."""
+    """Per text: P, and its sentences with a known feature as (row, ordinal, start, stop, score)."""
     low = K.text_column(texts, lower=True)
     seen, keys = model.lookup()
     total = np.zeros(len(texts))

@@ -205,6 +205,16 @@ def test_toxicity_held_out_and_located(spark):
     assert kept == set(range(len(texts))) - set(got)
 
 
+def test_toxicity_learns_from_fewer_than_five_documents(spark):
+    r = random.Random(19)
+    texts = ["\n".join(sentence(r) for _ in range(4)) for _ in range(80)]
+    bad = [0, 1, 2, 3, 78, 79]
+    for i in bad:
+        texts[i] += "\n" + " ".join(["zotterich", "grumpelig", r.choice(WORDS), "quorzig", r.choice(WORDS)]) + "."
+    marks = labels(spark, [(i, 1, int(i in bad)) for i in range(70)])  # four toxic, the last two unlabelled
+    assert {x["doc_id"] for x in toxicity.flag_toxic(docs(spark, texts), marks).collect()} == set(bad)
+
+
 def test_noisy_or_is_one_minus_the_product():
     texts = pa.array(["bad one. fine two. bad three.", "fine. fine.", ""])
     h = [int(toxicity.K.row_hash(*toxicity.K.buffers(pa.array([w], pa.large_string())))[0]) for w in ("bad",)]
