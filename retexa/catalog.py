@@ -434,8 +434,8 @@ def tfidf_embedding(spark, d):
 
 @query()
 def lsi(spark, d):
-    """Items in four latent dimensions."""
-    return vsm.lsi_vectors(bags(spark, d, "benchmark"), 4)
+    """Documents in four latent dimensions."""
+    return vsm.lsi_vectors(bags(spark, d, "documents"), 4)
 
 
 # -- alignment and transport
@@ -453,9 +453,8 @@ def local_alignment_score(spark, d):
 
 @query()
 def local_alignment_full(spark, d):
-    """The same with the alignments rendered, for each item's best document."""
-    best = results.ranking(_candidates(spark, d), 1)
-    return results.aligned(best, coll(spark, d, "benchmark"), coll(spark, d, "documents"))
+    """The same with the alignments rendered."""
+    return results.aligned(_candidates(spark, d), coll(spark, d, "benchmark"), coll(spark, d, "documents"))
 
 
 @query(f"{_STATS}, x AS (SELECT feature, pow(freq, 1 / 1.5) AS x FROM v), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x) SELECT feature, round(-2 * (x - lo) / (hi - lo), 6) + 0.0 AS \"offset\" FROM x, e")
@@ -466,16 +465,16 @@ def lookup_scorer_offsets(spark, d):
 
 @query()
 def assignment_score(spark, d):
-    """Best one-to-one matching of each item's words with those of its best document."""
+    """Best one-to-one matching of the words of the item-document pairs that share half of the item's words."""
     q, docs = both(spark, d)
-    return transport.assignment_join(results.ranking(_candidates(spark, d), 1), q, docs, word_table(spark, d))
+    return transport.assignment_join(_candidates(spark, d), q, docs, word_table(spark, d))
 
 
 @query()
 def word_movers(spark, d):
-    """Earth mover's distance of each item and its best document."""
+    """Earth mover's distance of the same pairs."""
     q, docs = both(spark, d)
-    return transport.word_movers_distance(results.ranking(_candidates(spark, d), 1), q, docs, word_table(spark, d))
+    return transport.word_movers_distance(_candidates(spark, d), q, docs, word_table(spark, d))
 
 
 # -- results
