@@ -11,7 +11,8 @@ Only the cell table, as many rows as there are combinations of categories,
 reaches the driver; documents are scanned for the sums and once more to draw.
 
 Targets map a category to its share. Categories that a mapping doesn't list
-share what it leaves of 1 in proportion to their tokens; without a mapping the
+share what it leaves of 1 in proportion to their tokens, or, where it leaves
+nothing, keep their raw share while the listed divide the remainder; without a mapping the
 target is tokens ** alpha, scaled to 1. Listed categories without tokens drop
 out, the rest is scaled to 1.
 
@@ -69,7 +70,12 @@ def margin(names: list, tokens: np.ndarray, want: Mapping | None, alpha: float)
         listed = np.array([n in want for n in names], bool)
         share = np.array([max(0.0, want.get(n, 0.0)) for n in names])
         left, rest = max(0.0, 1 - sum(max(0.0, x) for x in want.values())), tokens[~listed].sum()
-        share[~listed] = left * tokens[~listed] / rest if rest else 0.0
+        if left > 1e-12:
+            share[~listed] = left * tokens[~listed] / rest if rest else 0.0
+        elif rest:  # nothing is left for them: they keep their raw share, the listed divide what remains
+            raw = rest / tokens.sum()
+            held = np.where(tokens > 0, share, 0.0).sum()
+            share = np.where(listed, share * ((1 - raw) / held if held else 0.0), tokens / tokens.sum())
         share = np.where(tokens > 0, share, 0.0)
     return share / share.sum() if share.sum() else share
 

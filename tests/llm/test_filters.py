@@ -99,6 +99,13 @@ def test_raking_meets_the_marginals(spark):
     assert abs(share["en"] - 0.5) < 0.07 and abs(share["de"] - 0.25) < 0.07
 
 
+def test_unlisted_categories_keep_their_raw_share():
+    tokens = np.array([10.0, 20.0, 30.0, 40.0])
+    got = mixing.margin([None, "it", "de", "en"], tokens, {"en": 0.75, "de": 0.25}, 0.5)
+    assert np.allclose(got, [0.1, 0.2, 0.175, 0.525])
+    assert np.allclose(mixing.margin(["de", "en"], tokens[2:], {"en": 0.75, "de": 0.25}, 0.5), [0.25, 0.75])
+
+
 def test_calibration_matches_bisection():
     r = np.random.default_rng(0)
     for _ in range(50):
