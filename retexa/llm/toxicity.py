@@ -9,6 +9,10 @@ Every feature of the sample is in the fit. What keeps a rare one from carrying
 noise is a prior on its weight, narrow where the labels say little and wider the
 more they do, so no count or size of table decides what can be learnt.
 
+The product runs over the sentences that hold a feature of the sample; in the
+fit that is every sentence, so no plain ones are counted there. A sentence of
+unknown words only counts as p = 0. Weights of either sign are kept as fitted.
+
 Fitting uses at most ``max_per_class`` labelled documents of either class, taken
 in the order of a hash of doc_id; the rest of the work reads every document.
 

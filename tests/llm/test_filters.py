@@ -233,6 +233,23 @@ def test_noisy_or_is_one_minus_the_product():
     assert h and np.allclose(p, [1 - (1 - s) ** 2, 0, 0]) and row.tolist() == [0, 0] and ordinal.tolist() == [0, 2] and np.allclose(score, s)
 
 
+def test_scores_are_those_of_the_fitted_model():
+    r = random.Random(29)
+    texts = [" ".join(sentence(r) for _ in range(4)) + (" zotterich mibann." if i % 4 == 0 else " gentle mibann.") for i in range(60)]
+    model = toxicity.fit(pa.array(texts), np.arange(60) % 4 == 0, np.ones(60))
+    assert (model.weights < 0).any()
+    p, (row, *_, each) = toxicity.score(model, pa.array(texts))
+    assert np.bincount(row).tolist() == [5] * 60  # plain sentences too
+    own = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    b, offs = toxicity.K.buffers(pa.array(texts, pa.large_string()))
+    srow, _, _, _, owner, h = toxicity.features(b, offs)
+    s = np.full(len(srow), model.bias)
+    for o, k in set(zip(owner.tolist(), h.tolist())):
+        s[o] += own[k]
+    want = 1 - np.array([np.prod(1 - 1 / (1 + np.exp(-s[srow == i]))) for i in range(60)])
+    assert np.allclose(each, 1 / (1 + np.exp(-s))) and np.allclose(p, want)
+
+
 def test_toxicity_takes_awkward_rows(spark):
     texts, marks, _ = toxic(spark, 200)
     df = docs(spark, texts + AWKWARD, extra=True)
