@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,6 +53,13 @@ def store(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
+def store_with(df: DataFrame, name: str = "t", *figures: Column) -> tuple[DataFrame, str, dict]:
+    """The same with its number of rows, n, and other aggregates, taken while writing."""
+    seen = Observation()
+    table, path = store(df.observe(seen, F.count(F.lit(1)).alias("n"), *figures), name)
+    return table, path, seen.get
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete stored tables that nothing reads any more."""
     for path in paths:
