@@ -8,40 +8,53 @@ coordinates agree with probability equal to the Jaccard similarity, with
 concentration as for independent coordinates. A document leaves as soon as all
 its bins are full: later rounds only bring larger values.
 
-Sketches are cut into bands of ROWS coordinates. Documents that share a band
-are candidates. Within a band's bucket every member is verified exactly against
-one leader, drawn by a hash; only members that fail are verified against all
-other members. Two members that both match the leader are connected already, so
-the components equal those of verifying all pairs of the bucket, while a bucket
-of m near copies and a few others costs in the order of m checks.
-
-Documents with the same words in the same order are collapsed before banding.
+Texts with the same words in the same order are one text from here on. Sketches
+are cut into bands of ROWS coordinates, and texts that share a band are
+candidates. In every bucket each text is verified exactly against one leader, the
+text of least digest, so near copies cost one check each, however many they are:
+two that match the leader are connected already.
+
+What fails its leader may still be near another member. The texts of buckets that
+the links so far leave in several components form a pool, in which pairs of
+different components are found without the bucket: if two sets reach the
+threshold t they share one of the first n - ceil(t n) + 1 shingles of the larger
+and one of the first n - ceil(2t / (1 + t) n) + 1 of the smaller, in any common
+order. The order puts shingles that many pool texts hold last, so a passage that
+thousands share brings nobody together, and only what can reach t is verified,
+exactly. So the components are at least those of verifying all pairs of all
+buckets, and neither near copies nor a shared passage cost the square of their
+number.
+
 Chance that a pair of Jaccard s shares no band: (1 - s^ROWS)^(BINS / ROWS), that
-is 4 % at 0.5, 0.4 % at 0.6.
+is 5 % at 0.5, 0.4 % at 0.6.
 
 Defined results: documents without words (null or empty texts) and rows with a
 null doc_id are in no group and are kept; rows that share a doc_id are one
-document; the least doc_id of a group stays.
+document, linked by what any of their texts matches, in whatever order they come;
+texts are read whole however long; the least doc_id of a group stays; an empty
+table gives an empty result; other columns aren't carried by near_duplicates,
+whatever their names, and are carried unchanged by keep_first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from retexa.llm import textkit as K
 from retexa.llm.components import components
-from retexa.session import discard, store
+from retexa.session import discard, store, store_with
 
 U = np.uint64
 BINS, ROWS, THRESHOLD = 184, 4, 0.5
 #: Ids sent to every executor at most; beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
+#: Texts of the pool that hold a shingle for it to count as common; shingles of a verification block.
+COMMON, CELLS = 8, 1 << 18
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U)
 
 
@@ -105,26 +118,27 @@ def _low(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield i, j, *K.buffers(low.slice(i, j - i))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, b, offs in _low(batch):
-            rows, g, d1, d2 = shingles(b, offs)
-            keys = bands(sketch(rows, g, j - i))
-            size = np.bincount(rows, minlength=j - i)
-            has = np.flatnonzero(size)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys[has].ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].slice(i, j - i).take(pa.array(has)), pa.array(d1[has].view(np.int64)), pa.array(d2[has].view(np.int64)), flat],
-                ["doc_id", "d1", "d2", "keys"],
-            )
+def _sketches(key: Callable[[np.ndarray], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, b, offs in _low(batch):
+                rows, g, d1, d2 = shingles(b, offs)
+                has = np.flatnonzero(np.bincount(rows, minlength=j - i))
+                keys = key(sketch(rows, g, j - i))[has]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+                digests = (pa.array(d[has].view(np.int64)) for d in (d1, d2))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i).take(pa.array(has)), *digests, flat], ["doc_id", "d1", "d2", "keys"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, b, offs in _low(batch):
-            rows, g, _, _ = shingles(b, offs)
+            rows, g, d1, _ = shingles(b, offs)
             offsets = np.searchsorted(rows, np.arange(j - i + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(g.view(np.int64)))], ["id", "grams"])
+            cols = [batch["doc_id"].slice(i, j - i), pa.array(d1.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(g.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "d", "grams"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,69 +146,131 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch["grams_a"], batch["grams_b"]
         both = []
-        for x, y in zip((a, b), (b, a)):
+        for x in (a, b):
             offs = x.offsets.to_numpy()
             both.append((x.values.to_numpy()[offs[0] : offs[-1]], np.diff(offs)))
+        stops = [np.concatenate([[0], np.cumsum(n)]) for _, n in both]
         out = np.zeros(len(batch))
-        for lo in range(0, len(batch), 256):
-            hi = min(lo + 256, len(batch))
-            cut = [slice(int(n[:lo].sum()), int(n[:hi].sum())) for _, n in both]
+        lo = 0
+        while lo < len(batch):  # about CELLS shingles at once
+            hi = max(lo + 1, int(np.searchsorted(stops[0] + stops[1], stops[0][lo] + stops[1][lo] + CELLS, "right")) - 1)
+            cut = [slice(int(c[lo]), int(c[hi])) for c in stops]
             row = np.concatenate([np.repeat(np.arange(hi - lo), n[lo:hi]) for _, n in both])
             val = np.concatenate([v[c] for (v, _), c in zip(both, cut)])
             order = np.lexsort((val, row))
             row, val = row[order], val[order]
             same = np.bincount(row[1:][(row[1:] == row[:-1]) & (val[1:] == val[:-1])], minlength=hi - lo)
             out[lo:hi] = same / np.maximum(both[0][1][lo:hi] + both[1][1][lo:hi] - same, 1)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(out)], ["a", "b", "jaccard"])
-
-
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact Jaccard similarity of the stored pairs (a, b). Texts are reread for the
-    documents in some pair; their ids are broadcast only while they are few."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    n = pairs.count()
-    ids = F.broadcast(ids) if 2 * n <= BROADCAST_IDS else ids
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id bigint, grams array<bigint>")
-    sets, path = store(sets, "sets")
-    sets = sets.dropDuplicates(["id"])
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
-    done = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_overlap, "a bigint, b bigint, jaccard double")
-    done, out = store(done, "verified")
-    discard(docs.sparkSession, path)
-    return done, out
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, group_id, keep) for every document in a group of two or more;
-    group_id is the group's least doc_id, the one to keep."""
+            lo = hi
+        names = ["a", "ad", "b", "bd"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out)], [*names, "jaccard"])
+
+
+PAIR = ("a", "ad", "b", "bd")
+
+
+def _pairs(rows: DataFrame, x: tuple[str, str], y: tuple[str, str]) -> DataFrame:
+    """Distinct unordered pairs of texts (a, ad, b, bd), each a carrier's doc_id and a digest."""
+    side = lambda c: F.struct(F.col(c[0]).alias("id"), F.col(c[1]).alias("d"))
+    both = rows.select(F.greatest(side(x), side(y)).alias("p"), F.least(side(x), side(y)).alias("q"))
+    return both.select(F.col("p.id").alias("a"), F.col("p.d").alias("ad"), F.col("q.id").alias("b"), F.col("q.d").alias("bd")).distinct()
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """Stored shingle sets (id, d, grams) of the n texts in nodes (id, d), one row each.
+    Texts are reread; the ids are broadcast only while they are few."""
+    few = n <= BROADCAST_IDS
+    ids = nodes.select(F.col("id").alias("doc_id")).distinct()
+    sets = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_sets, "id bigint, d bigint, grams array<bigint>")
+    # a doc_id may have other texts, and rows of the same text
+    return store(sets.join(F.broadcast(nodes) if few else nodes, ["id", "d"], "left_semi").dropDuplicates(["id", "d"]), "sets")
+
+
+def verify(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
+    """Exact Jaccard similarity of the pairs, stored."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("d").alias(f"{c}d"), F.col("grams").alias(f"grams_{c}"))
+    joined = pairs.select(*PAIR).join(side("a"), ["a", "ad"]).join(side("b"), ["b", "bd"])
+    done = joined.select(*PAIR, "grams_a", "grams_b").mapInArrow(_overlap, "a bigint, ad bigint, b bigint, bd bigint, jaccard double")
+    return store(done, "verified")
+
+
+def _prefixes(pool: DataFrame, threshold: float) -> DataFrame:
+    """(id, d, root, n, g, k): the k-th shingles, up to those that two sets which reach
+    the threshold must share. Shingles that COMMON texts of the pool or more hold come
+    last, the most common at the end."""
+    posts = pool.select("id", "d", "root", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    common = posts.groupBy("g").count().where(F.col("count") >= COMMON).select("g", F.col("count").alias("df"))
+    ordered = posts.join(common, "g", "left").groupBy("id", "d", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("s"))
+    keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    return ordered.select("id", "d", "root", "n", F.posexplode(F.slice("s", F.lit(1), keep)).alias("k", "p")).select("id", "d", "root", "n", "p.g", (F.col("k") + 1).alias("k"))
+
+
+def _across(posts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, xd, y, yd) of different roots that meet in a prefix and can reach the threshold.
+    Roots are paired first, so texts of one root never meet."""
+    roots = posts.select("g", "root").distinct()
+    several = roots.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+    roots = roots.join(several, "g", "left_semi")
+    cross = roots.withColumnRenamed("root", "r1").join(roots.withColumnRenamed("root", "r2"), "g").where("r1 <> r2")
+    share = threshold / (1 + threshold)
+    short = F.col("k") <= F.col("n") - F.ceil(F.col("n") * 2 * share - 1e-9) + 1
+    x = posts.where(short).select("g", F.col("root").alias("r1"), F.col("id").alias("x"), F.col("d").alias("xd"), F.col("n").alias("xn"), F.col("k").alias("xk"))
+    y = posts.select("g", F.col("root").alias("r2"), F.col("id").alias("y"), F.col("d").alias("yd"), F.col("n").alias("yn"), F.col("k").alias("yk"))
+    size = (F.col("xn") <= F.col("yn")) & (F.col("xn") >= F.col("yn") * threshold - 1e-9)
+    most = F.least("xk", "yk") + F.least(F.col("xn") - F.col("xk"), F.col("yn") - F.col("yk"))
+    return cross.join(x, ["g", "r1"]).join(y, ["g", "r2"]).where(size & (most >= (F.col("xn") + F.col("yn")) * share - 1e-9)).select("x", "xd", "y", "yd")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: Callable[[np.ndarray], np.ndarray] = bands) -> DataFrame:
+    """(doc_id, group_id, copy_of, links, keep) for every document in a group of two
+    or more. group_id is the group's least doc_id, the one to keep; copy_of is the
+    least doc_id with the same words; links counts the verified pairs of its text. ``key``
+    gives the bands of an array of sketches."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null")
-    seen, p1 = store(base.mapInArrow(_sketches, "doc_id bigint, d1 bigint, d2 bigint, keys array<bigint>"), "sketches")
-    same = seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    rep, p2 = store(seen.join(same, ["d1", "d2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "copies")
-    copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    members = rep.where("doc_id = rep").dropDuplicates(["doc_id", "keys"]).select("doc_id", F.explode("keys").alias("band"))
-    lead = F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), F.col("doc_id").alias("id"))).over(W.partitionBy("band"))
-    buckets = members.withColumn("lead", lead["id"]).withColumn("size", F.count("*").over(W.partitionBy("band")))
-    buckets, p3 = store(buckets.where("size > 1").drop("size"), "buckets")
-    first, p4 = store(buckets.where("doc_id <> lead").select(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b")).distinct(), "pairs")
-    checked, p5 = verify(base, first)
-    failed = checked.where(F.col("jaccard") < threshold).select("a", "b")
-    led = buckets.where("doc_id <> lead").select("band", F.col("doc_id").alias("x"), F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b"))
-    lost = led.join(failed, ["a", "b"], "left_semi").select("x", "band")
-    rest = lost.join(buckets.select("doc_id", "band"), "band").where("x <> doc_id")
-    rest = rest.select(F.greatest("x", "doc_id").alias("a"), F.least("x", "doc_id").alias("b")).distinct()
-    second, p6 = store(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    again, p7 = verify(base, second)
-    close = checked.unionByName(again).where(F.col("jaccard") >= threshold).select("a", "b")
-    group, _ = components(copies.unionByName(close))
-    discard(spark, p1, p2, p3, p4, p5, p6, p7)
-    return group.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("keep"))
+    seen, p1 = store(base.mapInArrow(_sketches(key), "doc_id bigint, d1 bigint, d2 bigint, keys array<bigint>"), "sketches")
+    texts, p2 = store(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
+    own, p3 = store(seen.select("doc_id", "d1", "d2").distinct().join(texts.select("d1", "d2", "id"), ["d1", "d2"]).select("doc_id", "id"), "copies")
+    discard(spark, p1)
+    copies = own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    # a band's leader and whether it has company; aggregated before the shuffle, so a hot band is no hot task
+    members = texts.select(F.col("d1").alias("d"), F.explode("keys").alias("band"))
+    leads = members.groupBy("band").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead <> last").select("band", "lead")
+    buckets, p4 = store(members.join(leads, "band"), "buckets")
+    name = texts.select("id", F.col("d1").alias("d"))
+    side = lambda c: name.select(F.col("d").alias(c), F.col("id").alias(f"{c}_id"))
+    led = buckets.where("d <> lead").select("d", "lead").distinct().join(side("d"), "d").join(side("lead"), "lead")
+    first, p5 = store(_pairs(led, ("d_id", "d"), ("lead_id", "lead")), "pairs")
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("ad").alias("d")), F.struct(F.col("b").alias("id"), F.col("bd").alias("d")))
+    nodes, p6, size = store_with(first.select(F.explode(ends).alias("n")).select("n.*").distinct(), "nodes")
+    sets, p7 = sets_of(base, nodes, size["n"])
+    checked, p8 = verify(sets, first)
+    close = checked.where(F.col("jaccard") >= threshold).select("a", "b")
+    group, p9 = components(copies.unionByName(close))
+    # buckets that are still in several components
+    rooted = nodes.join(group, "id", "left").select("id", "d", F.coalesce("root", "id").alias("root"))
+    inside, p10 = store(buckets.select("band", "d").join(rooted, "d"), "inside")
+    apart = inside.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    pool, p11, size = store_with(inside.join(apart, "band", "left_semi").select("id", "d", "root").distinct(), "pool")
+    paths = [p2, p3, p4, p5, p6, p7, p8, p9, p10, p11]
+    if size["n"]:
+        posts, p12 = store(_prefixes(sets.join(pool, ["id", "d"]), threshold), "prefixes")
+        second, p13 = store(_pairs(_across(posts, threshold), ("x", "xd"), ("y", "yd")).join(first, list(PAIR), "left_anti"), "pairs")
+        again, p14 = verify(sets, second)
+        more = again.where(F.col("jaccard") >= threshold).select("a", "b")
+        group, p15 = components(group.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+        close, paths = close.unionByName(more), [*paths, p12, p13, p14, p15]
+    degree = close.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    least = own.groupBy("doc_id").agg(F.min("id").alias("copy_of"))
+    named = least.join(degree, F.col("copy_of") == F.col("id"), "left").select("doc_id", "copy_of", F.coalesce("links", F.lit(0)).alias("links"))
+    out, _ = store(group.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id")).join(named, "doc_id"), "groups")
+    discard(spark, *paths)
+    return out.select("doc_id", "group_id", "copy_of", "links", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of near-duplicates. Rows of one doc_id
     that were repeated stay repeated unless their document goes."""
-    gone = near_duplicates(docs, threshold).where(~F.col("keep")).select("doc_id")
-    few = gone.count() <= BROADCAST_IDS
+    gone, _, size = store_with(near_duplicates(docs, threshold).where(~F.col("keep")).select("doc_id"), "gone")
+    few = size["n"] <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

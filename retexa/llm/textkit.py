@@ -19,6 +19,10 @@ U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers = [np.ones(0, U), np.ones(0, U)]
+#: Bytes of a block of texts; longer texts are a block each. Powers kept between blocks at most.
+BLOCK, KEPT = (1 << 18) - 1, 1 << 20
+# the default pool keeps what batches once took; a worker is to hold what its block needs
+pa.set_memory_pool(pa.system_memory_pool())
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -48,7 +52,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(col: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(col: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Row ranges of about size bytes each, so that memory doesn't follow the batch."""
     _, offs = buffers(col)
     i, n = 0, len(col)
@@ -58,25 +62,27 @@ def blocks(col: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def _grow(n: int) -> None:
-    if len(_powers[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
+def _power(n: int, which: int) -> np.ndarray:
+    """At least n powers of the base, or of its inverse."""
+    if len(_powers[which]) >= n:
+        return _powers[which]
+    p = np.full(1 << max(18, int(n - 1).bit_length()), (_BASE, _INVERSE)[which], U)
+    p[0] = 1
+    np.multiply.accumulate(p, out=p)
+    if len(p) <= KEPT:
+        _powers[which] = p
+    return p
 
 
 def prefix_sums(b: np.ndarray) -> np.ndarray:
-    _grow(len(b) + 1)
     sums = np.zeros(len(b) + 1, U)
-    np.cumsum((b.astype(U) + U(1)) * _powers[0][: len(b)], out=sums[1:])
+    np.cumsum((b.astype(U) + U(1)) * _power(len(b), 0)[: len(b)], out=sums[1:])
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    return mix((sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    return mix((sums[ends] - sums[starts]) * _power(len(sums), 1)[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def _owner(offs: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -86,6 +86,49 @@ def test_sketch_agreement_is_the_jaccard_similarity():
     assert (tiny != np.iinfo(np.uint64).max).all()  # every coordinate fills
 
 
+def groups(df, **kw):
+    return {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(df, **kw).collect()}
+
+
+ONE = {"key": lambda s: s[:, :1].view("int64") * 0}  # a single bucket
+
+
+def test_rows_of_one_document_are_one_whatever_their_order(spark):
+    r = random.Random(1)
+    a, b, c = (" ".join(r.choice("abcdefgh") + str(r.randint(0, 99)) for _ in range(40)) for _ in range(3))
+    rows = [(1, a), (2, a + " more words"), (1, b), (3, b), (4, c), (4, c)]
+    want = {1: 1, 2: 1, 3: 1}
+    for some in (rows, rows[::-1]):
+        assert groups(docs(spark, [t for _, t in some], ids=[i for i, _ in some])) == want
+
+
+def test_members_that_fail_their_leader_find_each_other(spark):
+    """Chains in which neighbours match and the ends don't, all in one bucket."""
+    r = random.Random(5)
+    texts = []
+    for _ in range(6):
+        words = [f"v{r.randint(0, 10**6)}" for _ in range(90)]
+        texts += [" ".join(words[at : at + 50]) for at in range(0, 41, 10)]
+    texts += [" ".join(f"u{r.randint(0, 10**6)}" for _ in range(50)) for _ in range(20)]
+    sets = [shingles(t) for t in texts]
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5]
+    assert groups(docs(spark, texts), **ONE) == components(len(texts), close)
+
+
+def test_a_passage_that_thousands_share_costs_no_square(spark, monkeypatch):
+    """Documents that share 120 words of 260 or 200, in one bucket and no duplicates, and near copies among them."""
+    seen = []
+    real = minhash.verify
+    monkeypatch.setattr(minhash, "verify", lambda sets, pairs: (seen.append(pairs.count()), real(sets, pairs))[1])
+    r = random.Random(9)
+    shared = " ".join(f"s{k}" for k in range(120))
+    texts = [shared + " " + " ".join(f"w{r.randint(0, 10**7)}" for _ in range(140 if i % 2 else 80)) for i in range(2500)]
+    texts += [texts[k] + " one two" for k in range(40)]
+    got = groups(docs(spark, texts), **ONE)
+    assert got == {**{k: k for k in range(40)}, **{2500 + k: k for k in range(40)}}
+    assert len(seen) == 2 and sum(seen) < 3 * len(texts)
+
+
 def test_minhash_takes_awkward_rows(spark):
     df = docs(spark, AWKWARD, extra=True)
     df = df.unionByName(df.where("doc_id = 3")).unionByName(df.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("bigint")))
@@ -159,7 +202,7 @@ def test_bounds_never_decide_wrongly(spark, threshold):
     s = cosines(x)
     df = table(spark, x).select(F.col("vec_id").alias("id"), "embedding")
     width, bands = 8, 2
-    coded = df.mapInArrow(vector_dedup._coded(width, bands, 2), "id bigint, code binary, fix float, keys array<bigint>")
+    coded = df.withColumn("h", F.xxhash64("id")).mapInArrow(vector_dedup._coded(width, bands, 2), vector_dedup.CODES)
     pairs = spark.createDataFrame([(a, b) for a in range(0, 200, 3) for b in range(a)], "a bigint, b bigint")
     got = {(r["a"], r["b"]) for r in vector_dedup.similar(df, coded, pairs, threshold)[0].collect()}
     want = {(a, b) for a in range(0, 200, 3) for b in range(a) if s[a, b] >= threshold}
@@ -198,7 +241,11 @@ def odd(spark):
 
 def test_vectors_take_awkward_rows(spark):
     assert {r["vec_id"]: r["group_id"] for r in vector_dedup.near_duplicates(odd(spark)).collect()} == {0: 0, 1: 0}
-    got = [(r["vec_id"], r["rank"], r["neighbour_id"]) for r in neighbours.nearest(odd(spark)).collect()]
-    assert sorted(got) == [(0, 1, 1), (0, 2, 8), (1, 1, 0), (1, 2, 8), (8, 1, 0), (8, 2, 1)]  # ties by id
+    df = odd(spark).unionByName(odd(spark).where("vec_id = 7").withColumn("vec_id", F.lit(70).cast("bigint")))
+    got = [(r["vec_id"], r["rank"], r["neighbour_id"]) for r in neighbours.nearest(df).collect()]
+    # ties by id; vectors of two dimensions are searched apart
+    assert sorted(got) == [(0, 1, 1), (0, 2, 8), (1, 1, 0), (1, 2, 8), (7, 1, 70), (8, 1, 0), (8, 2, 1), (70, 1, 7)]
+    some = neighbours.nearest(df, queries=F.col("vec_id") == 8).collect()
+    assert sorted((r["vec_id"], r["neighbour_id"]) for r in some) == [(8, 0), (8, 1)]
     empty = odd(spark).limit(0)
     assert vector_dedup.near_duplicates(empty).count() == 0 and neighbours.nearest(empty).count() == 0
