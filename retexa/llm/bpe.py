@@ -4,16 +4,16 @@ A text is cut by the tokenizer's pattern; each distinct piece is encoded once a
 task. Pieces of similar length share a padded matrix of token ids beside a
 matrix of the ranks of neighbouring pairs. In a round every row merges its
 leftmost pair of minimum rank, looks up the two pairs that this makes in a hash
-table and closes the gap; rows without a mergeable pair leave. Pieces longer
-than the widest matrix, where a row's rounds would cost the square of its
-length, merge by a heap: the same merges in n log n.
+table and closes the gap; rows without a mergeable pair leave. The rounds of a
+row cost the square of its width, so pieces longer than the widest matrix, which
+are rare, make the same merges from a heap in n log n instead.
 
 The vocabulary is a file of base64 tokens and ranks; its path is a parameter and
 every worker must be able to read it.
 
 Defined results: a null text has null tokens and a null count, an empty text no
-tokens; texts are encoded whole; rows are kept as they are, in any number, with
-their other columns, except that columns named like a result are replaced.
+tokens; texts are encoded whole however long; an empty table stays empty; rows
+are kept as they are, in any number, with their other columns, except that columns named like a result are replaced.
 Decoding replaces ids outside the vocabulary, and bytes that are no UTF-8, by
 U+FFFD; null tokens decode to null.
 """
@@ -24,6 +24,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,9 @@ from retexa.llm import textkit as K
 U = np.uint64
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
+WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024)
 #: Matrix cells at once, bytes of text at once, and distinct pieces that a task remembers.
-CELLS, BLOCK, REMEMBERED = 1 << 20, 1 << 21, 400_000
+CELLS, BLOCK, REMEMBERED = 1 << 18, 1 << 19, 100_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -52,24 +53,31 @@ class Vocabulary:
         with open(path, "rb") as f:
             raw = f.read()
         self.digest = hashlib.sha256(raw + PATTERN.encode()).hexdigest()
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
-        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        a, b, r = [], [], []
-        for token, rank in self.ranks.items():
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        a, b, r = array("q"), array("q"), array("i")
+        for token, rank in ranks.items():
             for cut in range(1, len(token)):
-                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     a.append(left), b.append(right), r.append(rank)
-        self._table(np.array(a, np.int64), np.array(b, np.int64), np.array(r, np.int32))
-        size = max(self.ranks.values(), default=-1) + 1
+        a, b, r = np.array(a, np.int64), np.array(b, np.int64), np.array(r, np.int32)
+        self._table(a, b, r)
+        size = max(ranks.values(), default=-1) + 1
         own = [b""] * (size + 1)
-        for token, rank in self.ranks.items():
+        for token, rank in ranks.items():
             own[rank] = token
+        self.known = np.array([bool(x) for x in own])
         own = [x or "�".encode() for x in own]
         self.length = np.array([len(x) for x in own], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(own), np.uint8)
 
+    @property
+    def ranks(self) -> dict[bytes, int]:
+        """Token and rank, made anew: a worker needs only the table."""
+        return {self.bytes[self.start[i] : self.start[i] + self.length[i]].tobytes(): int(i) for i in np.flatnonzero(self.known)}
+
     def _table(self, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> None:
         """Open addressing with linear probing, at most a quarter full."""
         self.bits = max(4, int(4 * max(len(a), 1) - 1).bit_length())
@@ -292,6 +300,7 @@ EXACT = T.StructField("round_trip", T.BooleanType())
 def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", check: bool = False) -> DataFrame:
     """docs with tokens and n_tokens; with check also round_trip, whether decoding
     the tokens gives the text again. One pass, no shuffle."""
+    K.small_batches(docs.sparkSession)
     new = [TOKENS, COUNT, EXACT] if check else [TOKENS, COUNT]
     schema = K.extended(docs.schema, *new)
     kept = [f.name for f in schema.fields[: -len(new)]]
@@ -317,6 +326,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", check: b
 
 def decode(docs: DataFrame, path: str = VOCABULARY, tokens: str = "tokens") -> DataFrame:
     """docs with decoded, the text of the tokens."""
+    K.small_batches(docs.sparkSession)
     schema = K.extended(docs.schema, T.StructField("decoded", T.StringType()))
     kept = [f.name for f in schema.fields[:-1]]
 

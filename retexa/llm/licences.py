@@ -189,6 +189,7 @@ def ancestors(directory: Column) -> Column:
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, path, text) -> (doc_id, path, licence, licences, score, is_file, inherited_from)."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("path").cast("string").alias("path"), "text")
+    K.small_batches(docs.sparkSession)
     terms = Terms(templates)
     scanner = Scanner.fitted(terms, *frequencies(base, terms))
 

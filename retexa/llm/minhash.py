@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: Callable
     least doc_id with the same words; links counts the verified pairs of its text. ``key``
     gives the bands of an array of sketches."""
     spark = docs.sparkSession
+    K.small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null")
     seen, p1 = store(base.mapInArrow(_sketches(key), "doc_id bigint, d1 bigint, d2 bigint, keys array<bigint>"), "sketches")
     texts, p2 = store(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")

@@ -171,6 +171,7 @@ def _threshold(docs: DataFrame, models: Models, seed: int) -> int | None:
 
 def resample(docs: DataFrame, labels: DataFrame, max_target: int = 10000, seed: int = 6) -> DataFrame:
     """The sampled rows of docs with log_weight and gumbel_key added."""
+    K.small_batches(docs.sparkSession)
     models = learn(docs, labels, max_target)
     schema = K.extended(docs.schema, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType()))
     kept = [f.name for f in schema.fields[:-2]]

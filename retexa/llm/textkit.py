@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 U = np.uint64
@@ -20,7 +21,7 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers = [np.ones(0, U), np.ones(0, U)]
 #: Bytes of a block of texts; longer texts are a block each. Powers kept between blocks at most.
-BLOCK, KEPT = (1 << 18) - 1, 1 << 20
+BLOCK, KEPT, BATCH = (1 << 18) - 1, 1 << 20, 1000
 # the default pool keeps what batches once took; a worker is to hold what its block needs
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -122,6 +123,13 @@ def uniform(key: np.ndarray, salt: int) -> np.ndarray:
     return ((mix(key.astype(np.int64).view(U) ^ mix(np.array([salt], np.int64).view(U))) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts hold at most BATCH rows, where the session hasn't set its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
+
+
 def extended(schema: T.StructType, *new: T.StructField) -> T.StructType:
     """schema without the fields that new ones replace, then the new ones."""
     names = {f.name.lower() for f in new}

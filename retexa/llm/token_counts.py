@@ -68,6 +68,7 @@ def _count(path: str):
 
 def count_tokens(docs: DataFrame, cache: str, path: str = bpe.VOCABULARY) -> DataFrame:
     """(doc_id, digest, n_tokens, cached) for every row of docs."""
+    K.small_batches(docs.sparkSession)
     spark, version = docs.sparkSession, bpe.vocabulary(path).digest
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     keyed, _ = store(texts.select("doc_id", digest(F.col("text")).alias("digest")), "digests")

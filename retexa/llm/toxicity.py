@@ -184,6 +184,7 @@ def flag_toxic(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000) ->
     """Toxic documents: doc_id, probability and the offending sentences, each
     with its ordinal, character span in the lower-cased text, score and words.
     Sentences score at least 0.5, or else the best one is given."""
+    K.small_batches(docs.sparkSession)
     model = train(docs, labels, max_per_class)
     schema = f"doc_id bigint, probability double, offending {SENTENCE}"
     base = docs.select(F.col("doc_id").cast("bigint"), "text")
@@ -212,6 +213,7 @@ def flag_toxic(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000) ->
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000) -> DataFrame:
     """docs without the rows flag_toxic flags, all columns kept, in one pass and no shuffle."""
+    K.small_batches(docs.sparkSession)
     model = train(docs, labels, max_per_class)
     if model is None:
         return docs
