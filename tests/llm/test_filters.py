@@ -44,22 +44,57 @@ def test_licences_and_inheritance(spark):
     assert [i for i, x in sorted(got.items()) if x["is_file"]] == [0, 3]
 
 
-def test_licence_cosine_matches_brute_force():
-    terms = licences.Terms(licences.TEMPLATES)
-    texts = ["Released under the MIT License.", "some words under the license of others", sentence(random.Random(1)), "license " * 9]
-    df = np.zeros(terms.size)
-    for t in texts:
-        h, _, _ = licences._hashes(*licences.K.buffers(licences.K.text_column(pa.array([t]), lower=True)))
-        df[np.unique(terms.number(h))] += 1
-    scan = licences.Scanner.fitted(terms, df, len(texts)).scan(pa.array(texts), 0.01)
+def test_licence_scores_match_brute_force(spark):
+    """Every line, run, sentence and window of every text against every template, with exact frequencies."""
+    r = random.Random(1)
+    templates = [("A", "Released under the MIT License."), ("B", licences._ISC), ("C", "Licensed under CC BY 4.0.")]
+    notice = "released under the mit license"
+    texts = ["Released under the MIT License.", "some words under the license of others", sentence(r), "license " * 9, "", sentence(r) + "\n" + licences._ISC + "\n" + sentence(r)]
+    texts += [sentence(r, 20) + " " + notice + " " + sentence(r, 20), sentence(r) + " Released under the MIT License. " + sentence(r), "Licensed under CC BY 4.0 or something else"]
     split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
     seen = Counter(w for t in texts for w in set(split(t)))
-    idf = lambda w: math.log((1 + len(texts)) / (1 + seen[w])) + 1
-    vec = lambda t: {w: n * idf(w) for w, n in Counter(split(t)).items()}
+    n = sum(bool(split(t)) for t in texts)
+    idf = lambda w: math.log((1 + n) / (1 + seen[w])) + 1
+    vec = lambda ws: {w: k * idf(w) for w, k in Counter(ws).items()}
     cos = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-    for t, (score, *_) in zip(texts, scan):
-        best = max(cos(vec(t), vec(x)) for _, x in licences.TEMPLATES)
-        assert math.isclose(score, best if best >= 0.01 else 0.0, rel_tol=1e-9)
+    own = {w for _, t in templates for w in split(t)}
+
+    def parts(text):
+        lines = [x for x in text.split("\n") if split(x)]
+        for x in lines:
+            ws = split(x)
+            yield ws
+            yield from filter(None, map(split, re.split(r"(?<=[.!?;])(?=\s|$)", x)))
+            for size in licences.WINDOWS:
+                if len(ws) > size:
+                    yield from (ws[i : i + size] for i in [*range(0, len(ws) - size, size // 3), len(ws) - size])
+        dense = [sum(w in own for w in split(x)) >= 0.5 * len(split(x)) for x in lines]
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if all(dense[i:j]) and (i == 0 or not dense[i - 1]) and (j == len(lines) or not dense[j]):
+                    yield split("\n".join(lines[i:j]))
+
+    got = {x["doc_id"]: x for x in licences.scan(frame(spark, [(i, f"d{i}/x", t) for i, t in enumerate(texts)]), templates).collect()}
+    for i, t in enumerate(texts):
+        scores = [(cos(vec(p), vec(split(x))), name) for p in parts(t) for name, x in templates]
+        best = max(scores, default=(0.0, None))
+        assert math.isclose(got[i]["score"], best[0] if best[0] >= 0.6 else 0.0, rel_tol=1e-9), i
+        assert got[i]["licence"] == (best[1] if best[0] >= 0.6 else None)
+    assert got[6]["licence"] == got[7]["licence"] == "A" and got[5]["licence"] == "B"
+
+
+def test_whole_licence_files_govern_their_directories(spark):
+    r = random.Random(4)
+    prose = "\n".join(sentence(r) for _ in range(8))
+    bodies = {name: t for name, t in licences.TEMPLATES if len(t) > 5000}
+    assert len(bodies) >= 13
+    rows = [(k, f"{name}/LICENSE", "Copyright 2021 Somebody\n\n" + t) for k, (name, t) in enumerate(bodies.items())]
+    rows += [(100 + k, f"{name}/src/deep/x.py", prose) for k, name in enumerate(bodies)] + [(200, "other/x.py", prose)]
+    got = {x["doc_id"]: x for x in licences.scan(frame(spark, rows)).collect()}
+    for k, name in enumerate(bodies):
+        assert (got[k]["licence"], got[k]["is_file"]) == (name, True)
+        assert (got[100 + k]["licence"], got[100 + k]["inherited_from"]) == (name, name)
+    assert got[200]["licence"] is None
 
 
 def test_licences_take_awkward_rows(spark):
