@@ -14,14 +14,18 @@ fit that is every sentence, so no plain ones are counted there. A sentence of
 unknown words only counts as p = 0. Weights of either sign are kept as fitted.
 
 Fitting uses at most ``max_per_class`` labelled documents of either class, taken
-in the order of a hash of doc_id; the rest of the work reads every document.
+in the order of a hash of doc_id while their texts hold at most ``max_bytes`` a
+class; a text beyond that is passed over, not cut. The bias stays at BIAS or lower,
+as part of the fit: a sentence that holds no evidence is toxic with at most 5 %.
+The rest of the work reads every document.
 
 Defined results: null or empty texts hold no sentence, so P = 0 and they are
-never flagged; rows with a null doc_id are scored like others; repeated rows are
-scored each; conflicting labels of one document count as toxic; without
-documents labelled toxic and others labelled clean there is no model and nothing
-is flagged. Other columns are carried along by ``drop_toxic`` and ignored
-by ``flag_toxic``, except those named below.
+never flagged; texts are scored whole however long; rows with a null doc_id are
+scored like others; repeated rows are scored each, and of the texts of one labelled
+doc_id the least is fitted; conflicting labels of one document count as toxic;
+without documents labelled toxic and others labelled clean there is no model and
+nothing is flagged; an empty table gives an empty result. Other columns are carried
+along by ``drop_toxic`` and ignored by ``flag_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,11 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retexa.llm import textkit as K
+from retexa.session import discard, store
 
 U = np.uint64
 PREFIXES = (4, 5, 6, 7)
 #: A document is flagged from this probability on.
 THRESHOLD = 0.5
+#: Largest bias, and entries of the sample that the fit works on at once.
+BIAS, ENTRIES = -3.0, 1 << 19
 STOP = np.zeros(256, bool)
 STOP[[10, 33, 46, 63]] = True
 SENTENCE = "array<struct<sentence:int,start:int,stop:int,score:double,text:string>>"
@@ -115,29 +122,45 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, ridge: float = 0
         feats.append(h[new])
         first.append(np.bincount(o[new], minlength=len(r)))
     if not sum(len(x) for x in feats):
-        return Model(np.zeros(0, U), np.zeros(0), -3.0, THRESHOLD)
-    bag, size = np.concatenate(bag), np.concatenate(first)
-    keys, feature = np.unique(np.concatenate(feats), return_inverse=True)
-    del feats, first
-    feature = feature.astype(np.int32)
+        return Model(np.zeros(0, U), np.zeros(0), BIAS, THRESHOLD)
+    bag, size, feats = np.concatenate(bag), np.concatenate(first), np.concatenate(feats)
+    del first
+    keys = np.unique(feats)
+    feature = np.empty(len(feats), np.int32)
     start = np.cumsum(size) - size  # every sentence holds a word, so none is empty
-    doc = np.repeat(bag, size)
-    pair = np.unique(feature.astype(np.int64) * n + doc)
-    mine = y[pair % n]
-    pos, neg = (np.bincount(pair[side] // n, minlength=len(keys)) for side in (mine, ~mine))
-    del pair, mine, doc
+    # stretches of whole sentences, so that memory follows the sample's entries by 4 bytes each
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(feats), ENTRIES)), len(size)))
+    parts = [(slice(i, j), slice(start[i], start[j - 1] + size[j - 1])) for i, j in zip(cuts[:-1], cuts[1:])]
+    pos, neg = np.zeros(len(keys)), np.zeros(len(keys))
+    tail = np.zeros(0, np.int64)
+    for sents, entries in parts:
+        feature[entries] = np.searchsorted(keys, feats[entries])
+        pair = np.repeat(bag[sents].astype(np.int64), size[sents]) * len(keys) + feature[entries]
+        pair = np.unique(np.concatenate([tail, pair]))
+        last = pair // len(keys) == bag[sents.stop - 1]  # the last document may go on in the next stretch
+        tail, pair = pair[last], pair[~last]
+        for done in (pair, *([tail] if sents.stop == len(size) else [])):
+            mine = y[done // len(keys)]
+            pos += np.bincount(done[mine] % len(keys), minlength=len(keys))
+            neg += np.bincount(done[~mine] % len(keys), minlength=len(keys))
+    del feats
     spread = _evidence(pos, neg, y)
     u, bias = np.ones(len(keys)), -4.0
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for step in range(1, epochs + 1):
-        s = bias + np.add.reduceat((spread * u)[feature], start)
+        w = spread * u
+        s = np.concatenate([np.add.reduceat(w[feature[entries]], start[sents] - entries.start) for sents, entries in parts]) + bias
         big = np.bincount(bag, np.logaddexp(0, s), minlength=n)
         slope = np.where(y, -1 / np.expm1(np.clip(big, 1e-9, 500)), 1.0) * weight
         g = slope[bag] / (1 + np.exp(-s))
-        grad = np.append(np.bincount(feature, np.repeat(g, size), minlength=len(keys)) * spread + ridge * u, g.sum())
+        grad = np.zeros(len(keys) + 1)
+        for sents, entries in parts:
+            grad[:-1] += np.bincount(feature[entries], np.repeat(g[sents], size[sents]), minlength=len(keys))
+        grad[:-1] = grad[:-1] * spread + ridge * u
+        grad[-1] = g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        u, bias = u - move[:-1], min(bias - move[-1], -3.0)
+        u, bias = u - move[:-1], min(bias - move[-1], BIAS)
     return Model(keys, spread * u, float(bias), THRESHOLD)
 
 
@@ -163,17 +186,24 @@ def score(model: Model, texts: pa.Array):
     return -np.expm1(-total), cols
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000) -> Model | None:
-    """Fit on a bounded sample: the ids sent out number at most 2 * max_per_class."""
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_bytes: int = 16_000_000) -> Model | None:
+    """Fit on a bounded sample: at most max_per_class documents and max_bytes of text of either class."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     side = lambda v: marks.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
     ids = side(1).unionByName(side(0))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").toArrow()
-    counts = marks.groupBy("toxic").count().toArrow().to_pydict()
-    y = np.asarray(sample["toxic"].to_numpy() == 1)
-    if not y.any() or y.all():
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows, path = store(rows, "sample")
+    size = rows.select("doc_id", "toxic", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
+    size = size[size["bytes"] <= max_bytes]
+    taken = size[size.groupby("toxic")["bytes"].cumsum() <= max_bytes]
+    if taken["toxic"].nunique() < 2:
+        discard(docs.sparkSession, path)
         return None
-    share = {k: n for k, n in zip(counts["toxic"], counts["count"])}
+    chosen = docs.sparkSession.createDataFrame(taken[["doc_id"]], rows.select("doc_id").schema)
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").toArrow().sort_by("doc_id")
+    discard(docs.sparkSession, path)
+    share = dict(marks.groupBy("toxic").count().toPandas().itertuples(index=False))
+    y = np.asarray(sample["toxic"].to_numpy() == 1)
     weight = np.where(y, share.get(1, 1) / y.sum(), share.get(0, 1) / (~y).sum())
     weight = weight / weight.mean()
     model = fit(sample["text"].combine_chunks(), y, weight)
