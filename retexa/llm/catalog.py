@@ -77,8 +77,11 @@ def op6_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document through a cache that starts empty, the most work there can be."""
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token_counts-{uuid.uuid4().hex}")
+    """Token counts of every document, through a cache that holds what an earlier run
+    over the labelled documents stored."""
+    docs, cache = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token_counts-{uuid.uuid4().hex}"
+    token_counts.count_tokens(docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), cache)
+    return token_counts.count_tokens(docs, cache)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

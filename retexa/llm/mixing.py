@@ -17,7 +17,8 @@ target is tokens ** alpha, scaled to 1. Listed categories without tokens drop
 out, the rest is scaled to 1.
 
 Defined results: a null category is a category of its own, listed under None;
-null texts hold no tokens and have the probability of their cell; a cell without
+null texts hold no tokens and have the probability of their cell; texts are read
+whole however long; a cell without
 tokens has probability 0; repeated rows share a key and a decision; rows without
 doc_id use a digest of the text as key; an empty table stays empty; other
 columns are carried along, except that _mix_topic, _mix_tokens and _mix_p are
@@ -26,6 +27,7 @@ replaced.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -81,7 +83,8 @@ def margin(names: list, tokens: np.ndarray, want: Mapping | None, alpha: float)
 
 
 def rake(tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-12) -> np.ndarray:
-    """Cell shares with the given marginals, in the closest form to the tokens."""
+    """Cell shares with the given marginals, in the closest form to the tokens. Warns
+    if the marginals are still off, as they are where no cells can meet them."""
     w = tokens / tokens.sum() if tokens.sum() else tokens.astype(float)
     for _ in range(rounds):
         off = 0.0
@@ -91,6 +94,9 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray],
             w = w * np.divide(share, now, out=np.zeros_like(share), where=now > 0)[code]
         if off < tolerance:
             break
+    else:
+        if off > 1e-6:
+            warnings.warn(f"raking ended after {rounds} rounds with a marginal {off:.2g} off its target", stacklevel=2)
     return w
 
 

@@ -8,18 +8,19 @@ proportion to their weights: the k largest log weight + Gumbel noise.
 
 Target text is a bounded sample: ``max_target`` documents labelled good, in the
 order of a hash of doc_id. Raw counts cover every document. With target share s
-among the labels, k is the number of documents that the two-component mixture
-expects to be good, the sum over all documents of
-s * w / (s * w + (1 - s)), where w weighs the target against the rest of the
-raw text: the raw model is s * target + (1 - s) * rest.
+among the labels, k is the number of documents that a two-component mixture
+expects to be good, the sum over all documents of s * w / (s * w + (1 - s)); only
+there w weighs the target against the rest of the raw text, the raw model being
+s * target + (1 - s) * rest.
 
 Noise is a function of doc_id and text, so the sample is reproducible.
 
-Defined results: null and empty texts have log weight 0; rows with a null
-doc_id take part; repeated rows share one key and are kept or dropped together,
-as are ties at the k-th key (all kept); with no document labelled good, or none
-labelled otherwise, every row is kept; an empty table stays empty; other columns
-are carried along, except that log_weight and gumbel_key are replaced.
+Defined results: null and empty texts have log weight 0; texts are read whole
+however long; rows with a null doc_id take part; repeated rows share one key and
+are kept or dropped together, as are ties at the k-th key (all kept); with no
+document labelled good, or none labelled otherwise, every row is kept; an empty
+table stays empty; other columns are carried along, except that log_weight and
+gumbel_key are replaced.
 """
 
 from __future__ import annotations
@@ -59,9 +60,11 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class Models:
-    """log p_target - log p_rest by bucket and the prior log odds of the target."""
+    """log p_target - log p_raw by bucket; log p_target - log p_rest and the prior log
+    odds of the target, for the expected number of good documents."""
 
     ratio: np.ndarray
+    rest: np.ndarray
     odds: float
 
 
@@ -95,7 +98,7 @@ def mixture(raw: np.ndarray, good: np.ndarray, share: float) -> Models:
     target = (good + PRIOR * whole) / (good.sum() + PRIOR)
     rest = np.maximum(whole - share * target, 0.05 * whole)
     rest /= rest.sum()
-    return Models(np.log(target) - np.log(rest), math.log(share / (1 - share)))
+    return Models(np.log(target) - np.log(whole), np.log(target) - np.log(rest), math.log(share / (1 - share)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_target: int = 10000) -> Models | None:
@@ -110,22 +113,24 @@ def learn(docs: DataFrame, labels: DataFrame, max_target: int = 10000) -> Models
     return mixture(raw, good, n[1] / (n[1] + n[0]))
 
 
-def weigh(models: Models, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Log weight and the same plus Gumbel noise, before noise from doc_id."""
-    total, noise = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+def weigh(models: Models, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log weight against the raw text, log weight against the rest, and a digest of the text."""
+    total, rest, noise = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     for i, j, row, bucket in _parts(texts):
         total[i:j] = np.bincount(row, models.ratio[bucket], minlength=j - i)
+        rest[i:j] = np.bincount(row, models.rest[bucket], minlength=j - i)
     plain = K.text_column(texts)
     for i, j in K.blocks(plain):
         noise[i:j] = K.row_hash(*K.buffers(plain.slice(i, j - i))).view(np.int64)
-    return total, noise
+    return total, rest, noise
 
 
-def keyed(models: Models, batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    logw, noise = weigh(models, batch["text"])
+def keyed(models: Models, batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log weight, the same plus Gumbel noise, and log weight against the rest."""
+    logw, rest, noise = weigh(models, batch["text"])
     ids = batch["doc_id"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     u = K.uniform(ids ^ noise, seed)
-    return logw, logw - np.log(-np.log(u))
+    return logw, logw - np.log(-np.log(u)), rest
 
 
 def cut(scores: DataFrame, k: int) -> float | None:
@@ -158,8 +163,8 @@ def _ordered(key: np.ndarray) -> np.ndarray:
 def _threshold(docs: DataFrame, models: Models, seed: int) -> int | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logw, key = keyed(models, batch, seed)
-            good = 1 / (1 + np.exp(-np.clip(logw + models.odds, -700, 700)))
+            _, key, rest = keyed(models, batch, seed)
+            good = 1 / (1 + np.exp(-np.clip(rest + models.odds, -700, 700)))
             yield pa.RecordBatch.from_arrays([pa.array(_ordered(key)), pa.array(good)], ["ordered", "good"])
 
     scores, path = store(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "ordered bigint, good double"), "quality")
@@ -181,7 +186,7 @@ def resample(docs: DataFrame, labels: DataFrame, max_target: int = 10000, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logw, key = keyed(models, batch, seed)
+            logw, key, _ = keyed(models, batch, seed)
             keep = _ordered(key) >= least if least is not None else np.zeros(len(key), bool)
             cols = [*(batch[c] for c in kept), pa.array(logw), pa.array(key)]
             yield pa.RecordBatch.from_arrays(cols, [*kept, "log_weight", "gumbel_key"]).filter(pa.array(keep))

@@ -8,12 +8,13 @@ function here is a fixed number of numpy passes over the bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 U = np.uint64
@@ -130,6 +131,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+def set_aside(docs: DataFrame, taken: Callable[[str], bool]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns whose names are taken renamed, and what brings its columns back."""
+    names = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if taken(c.lower())}
+    return docs.withColumnsRenamed(names), lambda out: out.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+
+
 def extended(schema: T.StructType, *new: T.StructField) -> T.StructType:
     """schema without the fields that new ones replace, then the new ones."""
     names = {f.name.lower() for f in new}

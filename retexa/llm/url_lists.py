@@ -15,7 +15,8 @@ Defined results: one row a row of captures. Null or malformed URLs and null
 fetch times match nothing; entries with a null pattern, date or action, or an
 unknown action, don't count; of entries with one pattern and date, block goes
 before allow before remove, then the greatest category; repeated entries count
-once; without a list nothing is blocked. Other columns are carried along,
+once; without a list nothing is blocked; URLs are read whole however long; an
+empty table gives an empty result. Other columns are carried along,
 except that columns named like a result are replaced.
 """
 
@@ -27,13 +28,14 @@ from pyspark.sql.window import Window as W
 
 #: Intervals sent to every executor at most; beyond it the join shuffles.
 BROADCAST_INTERVALS = 500_000
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
+#: A backslash ends a host as a slash does, and dots at its end don't count: fetchers take both so.
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*:[/\\]{2}(?:[^/\\?#@]*@)?([^/\\?#:]*?)\.*(?:[/\\?#:]|$)"
+PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*:[/\\]{2}[^/\\?#]*([^?#]*)"
 RESULTS = ("host", "pattern", "action", "category", "blocked")
 
 
 def segments(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.filter(F.split(path, r"[/\\\\]"), lambda s: s != "")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -93,9 +95,9 @@ live AS (
 capture AS ({captures}),
 parts AS (
   SELECT DISTINCT url, fetched_at, string_split(lower(regexp_extract(url, '{HOST}', 1)), '.') AS h,
-    list_filter(string_split(lower(regexp_extract(url, '{PATH}', 1)), '/'), lambda s: s <> '') AS p FROM capture),
-suffix AS (SELECT url, fetched_at, p, array_to_string(h[len(h) - k + 1:], '.') AS s FROM parts, range(1, 20) r(k) WHERE k <= len(h)),
-probe AS (SELECT url, fetched_at, CASE WHEN k = 0 THEN s ELSE s || '/' || array_to_string(p[:k], '/') END AS key FROM suffix, range(0, 20) r(k) WHERE k <= len(p) AND k <= (SELECT max(d) FROM live)),
+    list_filter(regexp_split_to_array(lower(regexp_extract(url, '{PATH}', 1)), '[/\\]'), lambda s: s <> '') AS p FROM capture),
+suffix AS (SELECT url, fetched_at, p, array_to_string(h[len(h) - k + 1:], '.') AS s FROM parts, range(1, 129) r(k) WHERE k <= len(h)),
+probe AS (SELECT url, fetched_at, CASE WHEN k = 0 THEN s ELSE s || '/' || array_to_string(p[:k], '/') END AS key FROM suffix, range(0, (SELECT max(d) + 1 FROM live)) r(k) WHERE k <= len(p)),
 best AS (
   SELECT url, fetched_at, max({{'l': l, 'd': d, 'pattern': pattern, 'action': action, 'category': category}}) AS b
   FROM probe JOIN live ON key = pattern AND fetched_at >= since AND (until IS NULL OR fetched_at < until) GROUP BY ALL)

@@ -94,6 +94,10 @@ def test_counts_through_the_cache(spark, oracle, tmp_path):
     assert again[0]["cached"] and not again[1]["cached"] and again[1]["n_tokens"] == len(oracle("quite new"))
     assert spark.read.parquet(cache).count() == stored.count() + 1
     assert token_counts.count_tokens(more.limit(0), cache).count() == 0
+    # a doc_id with two texts, in a cache that holds one of them
+    both = docs(spark, ["quite new", "newer still", "newer still"], ids=[1, 1, 1])
+    got = sorted((r["n_tokens"], r["cached"]) for r in token_counts.count_tokens(both, cache).collect())
+    assert got == sorted([(len(oracle("quite new")), True)] + [(len(oracle("newer still")), False)] * 2)
 
 
 def test_misses_beyond_broadcast(spark, monkeypatch, tmp_path):

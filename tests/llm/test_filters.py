@@ -141,6 +141,11 @@ def test_unlisted_categories_keep_their_raw_share():
     assert np.allclose(mixing.margin(["de", "en"], tokens[2:], {"en": 0.75, "de": 0.25}, 0.5), [0.25, 0.75])
 
 
+def test_raking_says_when_targets_cannot_be_met():
+    with pytest.warns(UserWarning, match="off its target"):  # two cells, of which each would have to hold two shares
+        mixing.rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.5, 0.5]), np.array([0.9, 0.1])], rounds=20)
+
+
 def test_calibration_matches_bisection():
     r = np.random.default_rng(0)
     for _ in range(50):
@@ -182,7 +187,7 @@ def test_gumbel_top_k_is_exact(spark):
     texts, marks = judged(spark, 200)
     df = docs(spark, texts)
     models = quality.learn(df, marks)
-    logw, key = quality.keyed(models, pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts}), 6)
+    logw, key, _ = quality.keyed(models, pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts}), 6)
     k = round((1 / (1 + np.exp(-(logw + models.odds)))).sum())
     want = set(np.argsort(-key)[:k].tolist())
     assert {r["doc_id"] for r in quality.resample(df, marks).collect()} == want
@@ -190,6 +195,60 @@ def test_gumbel_top_k_is_exact(spark):
     assert raw.sum() == sum(len(t.replace(".", " .").split()) * 2 - 1 for t in texts)
 
 
+M64 = 2**64 - 1
+
+
+def _mix(x):
+    x = (x + 0x9E3779B97F4A7C15) & M64
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def _span(raw):
+    total = sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 2**64) for k, c in enumerate(raw))
+    return _mix((total + len(raw) * 0xD6E8FEB86659FD93) & M64)
+
+
+def test_quality_matches_a_plain_reference(spark):
+    """Models, weights, noise and the kept rows, from Python numbers and the definitions only."""
+    r = random.Random(12)
+    texts = [" ".join(r.choice(WORDS) for _ in range(r.randint(3, 25))) if i % 4 else "# $ % " * r.randint(2, 9) + r.choice(WORDS) for i in range(80)] + ["", "Ba ba BA, ba!"]
+    marks = [(i, int(i % 4 > 0), 0) for i in range(0, 60)]
+    n = quality.BUCKETS
+
+    def grams(text):
+        pieces = re.findall(rb"[0-9a-z\x80-\xff]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", text.lower().encode())
+        h = [_span(x) for x in pieces]
+        pairs = [1 if x == y else _mix((x * 0x9DDFEA08EB382D69 + y) & M64) for x, y in zip(h, h[1:])]
+        return [x % n for x in h + pairs]
+
+    raw, good = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        if (i, 1, 0) in marks:
+            good.update(grams(t))
+    share = sum(q for _, q, _ in marks) / len(marks)
+    whole = [(raw[b] + 0.01) / (sum(raw.values()) + 0.01 * n) for b in range(n)]
+    target = [(good[b] + quality.PRIOR * whole[b]) / (sum(good.values()) + quality.PRIOR) for b in range(n)]
+    rest = [max(w - share * t, 0.05 * w) for w, t in zip(whole, target)]
+    rest = [x / sum(rest) for x in rest] if (total := sum(rest)) else rest
+    assert total > 0
+    logw = [sum(math.log(target[b] / whole[b]) for b in grams(t)) for t in texts]
+    odds = [sum(math.log(target[b] / rest[b]) for b in grams(t)) + math.log(share / (1 - share)) for t in texts]
+    k = round(sum(1 / (1 + math.exp(-x)) for x in odds))
+    key = []
+    for i, t in enumerate(texts):
+        seed = i ^ _mix(_span(t.encode()))
+        u = ((_mix(seed ^ _mix(6)) >> 11) + 0.5) / 2**53
+        key.append(logw[i] - math.log(-math.log(u)))
+    want = sorted(range(len(texts)), key=lambda i: -key[i])[:k]
+    got = {x["doc_id"]: x for x in quality.resample(docs(spark, texts), labels(spark, marks)).collect()}
+    assert set(got) == set(want)
+    assert all(math.isclose(got[i]["log_weight"], logw[i], rel_tol=1e-6, abs_tol=1e-6) and math.isclose(got[i]["gumbel_key"], key[i], rel_tol=1e-6, abs_tol=1e-6) for i in want)
+
+
+
 def test_threshold_is_the_kth_key(spark):
     r = np.random.default_rng(1)
     keys = np.concatenate([r.normal(size=500) * 100, [3.5] * 20])
@@ -300,6 +359,15 @@ def test_toxicity_takes_awkward_rows(spark):
 # -- 10
 
 
+def test_urls_that_dodge_the_list(spark):
+    at = dt.datetime(2024, 6, 1)
+    urls = ["http://bad.org./x", "http://bad.org\\x", "http:\\\\bad.org/x", "http://u:p@BAD.org:80/x", "http://bad.org", "http://bad.org.", "http://notbad.org/x", "http://bad.org.uk/x"]
+    captures = spark.createDataFrame([(i, u, at) for i, u in enumerate(urls)], "page_id bigint, url string, fetched_at timestamp")
+    entries = spark.createDataFrame([("bad.org", dt.datetime(2024, 1, 1), "block", "spam")], "pattern string, dated timestamp, action string, category string")
+    got = {r["page_id"]: (r["host"], r["blocked"]) for r in url_lists.screen(captures, entries).collect()}
+    assert [got[i] for i in range(6)] == [("bad.org", True)] * 6 and not got[6][1] and not got[7][1]
+
+
 def test_url_screen_matches_brute_force(spark):
     r = random.Random(10)
     hosts = ["a.example.com", "example.com", "b.a.example.com", "x.org", "y.x.org", "ample.com"]
