@@ -406,9 +406,7 @@ def vector_kernels(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
     names = ("linear", "cosine", "euclidean", "manhattan", "sigmoid", "polynomial", "rbf")
-    gamma = 1 / F.size("x")
-    own = {"sigmoid": F.tanh(V.dot(F.col("x"), F.col("y")) * gamma + 1), "polynomial": F.pow(V.dot(F.col("x"), F.col("y")) * gamma + 1, F.lit(3)), "rbf": F.exp(-F.pow(V.euclidean(F.col("x"), F.col("y")), F.lit(2)) * gamma)}
-    return pairs.select("vec_id", *(F.round(own[n] if n in own else V.pairwise(n, F.col("x"), F.col("y")), 6).alias(n) for n in names))
+    return pairs.select("vec_id", *(F.round(V.pairwise(n, F.col("x"), F.col("y")), 6).alias(n) for n in names))
 
 
 @query(f"""{BASE}, {_VECTORS}, c AS (SELECT id, i, sum(tf * x) AS x FROM (SELECT id, tf, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM qc JOIN wv ON word = w) GROUP BY ALL)
@@ -632,4 +630,4 @@ def stream_containment(spark, d):
     writer = incoming.containment_stream(items, bags(spark, d, "documents"), f"{out}/rows", "item_id")
     run = writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("doc1 bigint, doc2 bigint, sim double").parquet(f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").select("doc1", "doc2", "sim")

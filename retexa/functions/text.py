@@ -2,7 +2,7 @@
 
 A document's words are one array of structs (token, lemma, pos), so parallel
 fields always have equal length. Everything here is a JVM expression but
-``strip_marks``, which needs Unicode normalisation.
+the Unicode normalisation in ``strip_marks``.
 """
 
 from __future__ import annotations
@@ -45,9 +45,13 @@ def joined(ws: Column, name: str = "token") -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def strip_marks(text: pd.Series) -> pd.Series:
-    """Without diacritics: canonical decomposition less the combining marks."""
-    return text.str.normalize("NFD").str.replace(r"[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯]", "", regex=True)
+def _decomposed(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFD")
+
+
+def strip_marks(text: Column | str) -> Column:
+    """Without diacritics: canonical decomposition less the combining marks of every script."""
+    return F.regexp_replace(_decomposed(text), r"\p{Mn}", "")
 
 
 @dataclass(frozen=True)

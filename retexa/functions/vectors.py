@@ -36,21 +36,21 @@ def manhattan(x: Column, y: Column) -> Column:
     return _sum(F.zip_with(x, y, lambda a, b: F.abs(a.cast("double") - b)))
 
 
-def sigmoid(x: Column, y: Column, gamma: float, c0: float = 1.0) -> Column:
+def sigmoid(x: Column, y: Column, gamma: float | Column, c0: float = 1.0) -> Column:
     return F.tanh(dot(x, y) * gamma + c0)
 
 
-def polynomial(x: Column, y: Column, gamma: float, degree: int = 3, c0: float = 1.0) -> Column:
+def polynomial(x: Column, y: Column, gamma: float | Column, degree: int = 3, c0: float = 1.0) -> Column:
     return F.pow(dot(x, y) * gamma + c0, F.lit(degree))
 
 
-def rbf(x: Column, y: Column, gamma: float) -> Column:
-    return F.exp(-gamma * F.pow(euclidean(x, y), F.lit(2)))
+def rbf(x: Column, y: Column, gamma: float | Column) -> Column:
+    return F.exp(F.lit(-1.0) * gamma * F.pow(euclidean(x, y), F.lit(2)))
 
 
 def pairwise(metric: str, x: Column, y: Column, dim: int | None = None) -> Column:
-    """A kernel or distance by name; gamma defaults to 1 / dim."""
-    gamma = 1.0 / dim if dim else 1.0
+    """A kernel or distance by name; gamma is 1 / dim, the vectors' own size if not given."""
+    gamma = 1.0 / dim if dim else F.lit(1.0) / F.size(x)
     table = {
         "linear": dot, "cosine": cosine, "cosine_distance": lambda a, b: 1 - cosine(a, b), "euclidean": euclidean, "l2": euclidean,
         "manhattan": manhattan, "l1": manhattan, "cityblock": manhattan, "sigmoid": lambda a, b: sigmoid(a, b, gamma),

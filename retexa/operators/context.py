@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from retexa.plans.ranking import accumulated
+
 
 def neighbours(docs: DataFrame, n: int, group: str | None = None, field: str = "token") -> DataFrame:
     """(id, left, right): the nearest n words of the documents before and after, in
     the order of id, across as many documents as it takes; within ``group`` if given.
 
     Sizes are accumulated in id order, so each document finds its reach by
-    position. Without a group the order is one window; give a group (book, file,
-    conversation) on large collections.
+    position. Without a group the order is cut into ranges, whose sizes, a number
+    each, give every range its offset.
     """
     keys = [group] if group else []
-    over = W.partitionBy(*keys).orderBy("id") if keys else W.partitionBy(F.lit(0)).orderBy("id")
     rows = docs.select("id", *keys, F.transform("words", lambda w: w[field]).alias("t")).withColumn("n", F.size("t"))
-    rows = rows.withColumn("stop", F.sum("n").over(over.rowsBetween(W.unboundedPreceding, 0))).withColumn("start", F.col("stop") - F.col("n"))
+    if keys:
+        rows = rows.withColumn("stop", F.sum("n").over(W.partitionBy(*keys).orderBy("id").rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        rows, _ = accumulated(rows, "n", "id", name="stop")
+    rows = rows.withColumn("start", F.col("stop") - F.col("n"))
     spots = rows.select(*keys, "id", F.col("start").alias("lo"), F.col("stop").alias("hi"))
     cells = rows.select(*keys, "start", F.posexplode("t").alias("i", "w")).select(*keys, (F.col("start") + F.col("i")).alias("p"), "w")
     step = F.lit(max(n, 1))

@@ -3,11 +3,16 @@
 Inputs are (id, features): a query side and an index side, or one table joined
 with itself. Results are (doc1, doc2, sim), doc1 from the query side.
 
-The prefix plan orders features from rare to frequent; if two sets of n features
-share at least a of them, they share one among the first n - a + 1. Only those
-prefixes are joined, candidates of impossible size drop out, and the rest are
-verified exactly. Features travel as 64-bit hashes. Without a useful prefix
-(threshold 0, or by choice) shared features are counted by an equi-join.
+The prefix plan orders features from rare to frequent; if two sets must share at
+least a of n features, they share one among the first n - a + 1. Only prefixes are
+joined; for containment, where an index set needn't hold any share of its own
+features, the queries' prefixes meet all features of the index. Sizes and positions
+drop collisions that can't belong to a result. The collisions of a pair are counted,
+and with what lies behind the prefix they bound its overlap, so that full sets only
+meet for pairs that may pass, and these are verified exactly. A join of a table with
+itself finds each unordered pair once where the measure is symmetric. Features
+travel as 64-bit hashes. Without a useful prefix (threshold 0, or by choice) shared
+features are counted by an equi-join.
 """
 
 from __future__ import annotations
@@ -16,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MEASURES = ("jaccard", "containment", "containment_min", "cosine")
-#: Rows of a side that candidates may be joined with by broadcast.
-BROADCAST_SETS = 50_000
+#: Share of a query that its prefix is longer by for containment, so that counts can rule pairs out.
+LONGER = 0.1
 
 
 def similarity(measure: str, o: Column, n1: Column, n2: Column) -> Column:
@@ -34,19 +39,21 @@ def similarity(measure: str, o: Column, n1: Column, n2: Column) -> Column:
     return table[measure]()
 
 
-def required(measure: str, n: Column, t: float, index: bool = False) -> Column:
+def required(measure: str, n: Column, t: float) -> Column:
     """Least overlap of a set of size n with anything it reaches t with."""
-    if index and measure == "containment":
-        return F.lit(1)
     share = t * t if measure == "cosine" else t
     return F.greatest(F.lit(1), F.ceil(n * share - 1e-9))
 
 
-def _size_filter(measure: str, n1: Column, n2: Column, t: float) -> Column:
-    if measure == "containment":
-        return n2 >= F.ceil(n1 * t - 1e-9)
-    share = t * t if measure == "cosine" else t
-    return (n2 >= n1 * share - 1e-9) & (n1 >= n2 * share - 1e-9)
+def needed(measure: str, n1: Column, n2: Column, t: float) -> Column:
+    """Least overlap of two sets that reach t."""
+    table = {
+        "jaccard": lambda: (n1 + n2) * (t / (1 + t)),
+        "containment": lambda: n1 * t,
+        "containment_min": lambda: F.greatest(n1, n2) * t,
+        "cosine": lambda: F.sqrt(n1) * F.sqrt(n2) * t,
+    }
+    return table[measure]() - 1e-9
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -63,25 +70,52 @@ def naive(queries: DataFrame, index: DataFrame, measure: str, threshold: float)
     return o.select("doc1", "doc2", similarity(measure, F.col("o"), F.col("n1"), F.col("n2")).alias("sim")).where(F.col("sim") >= threshold)
 
 
+def _prefix(docs: DataFrame, df: DataFrame, length: Column) -> DataFrame:
+    """(id, n, rest, last, k, g): the first ``length`` features of each set from rare to
+    frequent, with their places k from 1, the number behind them and the last one's key."""
+    rows = docs.select("id", "n", F.explode("grams").alias("g")).join(df, "g").groupBy("id", "n")
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s")).withColumn("p", F.least(length, F.col("n")).cast("int"))
+    last = F.element_at("s", F.col("p"))
+    rows = rows.select("id", "n", (F.col("n") - F.col("p")).alias("rest"), last["df"].alias("ldf"), last["g"].alias("lg"), F.posexplode(F.slice("s", F.lit(1), F.col("p"))).alias("k", "f"))
+    # a feature that one set holds meets nothing
+    return rows.where("f.df > 1").select("id", "n", "rest", "ldf", "lg", (F.col("k") + 1).alias("k"), "f.g")
+
+
 def prefixed(queries: DataFrame, index: DataFrame, measure: str, threshold: float, same: bool = False) -> DataFrame:
-    """The prefix plan. The rank of features counts both sides."""
+    """The prefix plan. The rank of features counts both sides; with ``same`` they are one
+    table, and the diagonal is in the result."""
     both = queries.select(F.explode("grams").alias("g"))
     both = both if same else both.unionByName(index.select(F.explode("grams").alias("g")))
     df = both.groupBy("g").agg(F.count("*").alias("df"))
-
-    def prefix(docs: DataFrame, doc: str, n: str, is_index: bool) -> DataFrame:
-        rows = docs.select("id", "n", F.explode("grams").alias("g")).join(df, "g")
-        rows = rows.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
-        keep = (F.col("n") - required(measure, F.col("n"), threshold, is_index) + 1).cast("int")
-        return rows.select(F.col("id").alias(doc), F.col("n").alias(n), F.explode(F.slice("s", F.lit(1), keep)).alias("p")).select(doc, n, F.col("p.g").alias("g"))
-
-    cand = prefix(queries, "doc1", "n1", False).join(prefix(index, "doc2", "n2", True), "g").where(_size_filter(measure, F.col("n1"), F.col("n2"), threshold))
-    cand = cand.select("doc1", "doc2").distinct()
-    left = queries.select(F.col("id").alias("doc1"), F.col("grams").alias("g1"), F.col("n").alias("n1"))
-    right = index.select(F.col("id").alias("doc2"), F.col("grams").alias("g2"), F.col("n").alias("n2"))
-    pairs = cand.join(left, "doc1").join(right, "doc2")
-    sim = similarity(measure, F.size(F.array_intersect("g1", "g2")), F.col("n1"), F.col("n2"))
-    return pairs.select("doc1", "doc2", sim.alias("sim")).where(F.col("sim") >= threshold)
+    one_way = measure == "containment"
+    least = F.col("n") - required(measure, F.col("n"), threshold) + 1
+    a = _prefix(queries, df, least + F.floor(F.col("n") * LONGER) if one_way else least)
+    b = index.select("id", "n", F.explode("grams").alias("g")) if one_way else (a if same else _prefix(index, df, least))
+    names = lambda t, i: t.select(*(F.col(c).alias(f"{c}{i}") if c != "g" else F.col(c) for c in t.columns))
+    n1, n2 = F.col("n1"), F.col("n2")
+    need = needed(measure, n1, n2, threshold)
+    able = F.least(n1, n2) >= need
+    if not one_way:
+        able = able & (F.least("k1", "k2") + F.least(n1 - F.col("k1"), n2 - F.col("k2")) >= need)
+    if same and not one_way:
+        able = able & ((n1 < n2) | ((n1 == n2) & (F.col("id1") < F.col("id2"))))
+    elif same:
+        able = able & (F.col("id1") != F.col("id2"))
+    kept = ["n1", "n2", "rest1"] + ([] if one_way else ["rest2", "ldf1", "lg1", "ldf2", "lg2"])
+    met = names(a, 1).join(names(b, 2), "g").where(able).groupBy("id1", "id2").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in kept))
+    # what either set holds behind the prefix that ends first, the other may share
+    first = F.lit(True) if one_way else (F.col("ldf1") < F.col("ldf2")) | ((F.col("ldf1") == F.col("ldf2")) & (F.col("lg1") <= F.col("lg2")))
+    cand = met.where(F.col("c") + (F.col("rest1") if one_way else F.when(first, F.col("rest1")).otherwise(F.col("rest2"))) >= need).select("id1", "id2")
+    left = queries.select(F.col("id").alias("id1"), F.col("grams").alias("g1"), F.col("n").alias("n1"))
+    right = index.select(F.col("id").alias("id2"), F.col("grams").alias("g2"), F.col("n").alias("n2"))
+    sim = similarity(measure, F.size(F.array_intersect("g1", "g2")), n1, n2)
+    found = cand.join(left, "id1").join(right, "id2").select(F.col("id1").alias("doc1"), F.col("id2").alias("doc2"), sim.alias("sim")).where(F.col("sim") >= threshold)
+    if not same:
+        return found
+    if not one_way:
+        way = F.explode(F.array(F.struct("doc1", "doc2"), F.struct(F.col("doc2").alias("doc1"), F.col("doc1").alias("doc2")))).alias("p")
+        found = found.select(way, "sim").select("p.doc1", "p.doc2", "sim")
+    return found.unionByName(queries.select(F.col("id").alias("doc1"), F.col("id").alias("doc2"), F.lit(1.0).alias("sim")))
 
 
 def set_join(queries: DataFrame, index: DataFrame | None = None, measure: str = "containment", threshold: float = 0.5, drop_self: bool | None = None, plan: str = "auto") -> DataFrame:
@@ -98,7 +132,7 @@ def set_join(queries: DataFrame, index: DataFrame | None = None, measure: str =
     same = index is None
     a = hashed(queries)
     b = a if same else hashed(index)
-    use_prefix = plan == "prefix" or (plan == "auto" and threshold >= 0.5 and measure != "containment")
+    use_prefix = plan == "prefix" or (plan == "auto" and threshold >= 0.5)
     out = prefixed(a, b, measure, threshold, same) if use_prefix and threshold > 0 else naive(a, b, measure, threshold)
     return out.where("doc1 <> doc2") if (same if drop_self is None else drop_self) else out
 

@@ -7,11 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from retexa.session import store
+from retexa.session import store, store_with
+
+#: Edges of a word-similarity matrix sent to every executor at most (24 bytes each); beyond it
+#: they are joined. Queries and documents of a tile, on average.
+BROADCAST_EDGES = 2_000_000
+TILE = (128, 512)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -54,10 +60,37 @@ def bag_of_words(docs: DataFrame, normalise: bool = True) -> DataFrame:
 
 
 def dot_join(queries: DataFrame, index: DataFrame, threshold: float = 0.25, digits: int | None = None) -> DataFrame:
-    """(doc1, doc2, sim), the inner products of sparse rows that reach the threshold."""
-    a = queries.select(F.col("id").alias("doc1"), "feature", F.col("w").alias("w1"))
-    b = index.select(F.col("id").alias("doc2"), "feature", F.col("w").alias("w2"))
-    sims = a.join(b, "feature").groupBy("doc1", "doc2").agg(F.sum(F.col("w1") * F.col("w2")).alias("sim"))
+    """(doc1, doc2, sim), the inner products of sparse rows that reach the threshold.
+
+    A query's features are ordered from rare to frequent. Those at the end whose norm,
+    times the largest norm of the index, stays under the threshold can't make a result by
+    themselves: only the others meet the index, and what the end may add bounds which
+    pairs are completed. So the commonest features, whose postings are longest, meet few."""
+    if threshold <= 0:
+        a = queries.select(F.col("id").alias("doc1"), "feature", F.col("w").alias("w1"))
+        b = index.select(F.col("id").alias("doc2"), "feature", F.col("w").alias("w2"))
+        sims = a.join(b, "feature").groupBy("doc1", "doc2").agg(F.sum(F.col("w1") * F.col("w2")).alias("sim"))
+        return _rounded(sims, threshold, digits)
+    limit = threshold - (10.0**-digits if digits is not None else 0.0) - 1e-9
+    posts, _ = store(index.select("id", "feature", "w"), "postings")
+    asked = posts if queries is index else queries.select("id", "feature", "w")
+    df = posts.groupBy("feature").agg(F.count("*").alias("df"))
+    norm = posts.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("x")).agg(F.coalesce(F.sqrt(F.max("x")), F.lit(0.0)).alias("most"))
+    tail = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id").orderBy("df", "feature").rowsBetween(0, W.unboundedFollowing))
+    rows = asked.join(df, "feature").select("id", "feature", "w", F.sqrt(tail).alias("tail")).crossJoin(F.broadcast(norm))
+    rows, _ = store(rows.select("id", "feature", "w", (F.col("tail") * F.col("most")).alias("tail")), "ordered")
+    ends = rows.where(F.col("tail") < limit).groupBy("id").agg(F.max("tail").alias("rest"))
+    a = rows.where(F.col("tail") >= limit).join(ends, "id", "left").select(F.col("id").alias("doc1"), "feature", F.col("w").alias("w1"), F.coalesce("rest", F.lit(0.0)).alias("rest"))
+    b = posts.select(F.col("id").alias("doc2"), "feature", F.col("w").alias("w2"))
+    part = a.join(b, "feature").groupBy("doc1", "doc2").agg(F.sum(F.col("w1") * F.col("w2")).alias("part"), F.first("rest").alias("rest"))
+    part, _ = store(part.where(F.col("part") + F.col("rest") >= limit).select("doc1", "doc2", "part"), "partial")
+    c = rows.where(F.col("tail") < limit).select(F.col("id").alias("doc1"), "feature", F.col("w").alias("w1"))
+    more = part.select("doc1", "doc2").join(c, "doc1").join(b, ["doc2", "feature"]).groupBy("doc1", "doc2").agg(F.sum(F.col("w1") * F.col("w2")).alias("more"))
+    sims = part.join(more, ["doc1", "doc2"], "left").select("doc1", "doc2", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("sim"))
+    return _rounded(sims, threshold, digits)
+
+
+def _rounded(sims: DataFrame, threshold: float, digits: int | None) -> DataFrame:
     sims = sims.withColumn("sim", F.round("sim", digits)) if digits is not None else sims
     return sims.where(F.col("sim") >= threshold)
 
@@ -69,29 +102,121 @@ def tfidf_join(queries: DataFrame, index: DataFrame | None = None, threshold: fl
     return dot_join(a, a if index is None else tfidf(index, fitted, **kw), threshold, digits)
 
 
+def _gathered(rows: DataFrame, *more: str) -> DataFrame:
+    """(id, f, w, ...): one row a document, with arrays of its features and weights."""
+    got = rows.groupBy("id", *more).agg(F.collect_list(F.struct("f", "w")).alias("x"))
+    return got.select("id", *more, F.col("x.f").alias("f"), F.col("x.w").alias("w"))
+
+
+class Edges:
+    """A sparse square matrix by hashed words, fixed in size by BROADCAST_EDGES."""
+
+    def __init__(self, table: pa.Table):
+        f1, f2, s = (table[c].to_numpy() for c in ("f1", "f2", "s"))
+        self.keys = np.unique(np.concatenate([f1, f2]))
+        order = np.argsort(f1, kind="stable")
+        row = np.searchsorted(self.keys, f1[order])
+        self.start = np.searchsorted(row, np.arange(len(self.keys) + 1))
+        self.column, self.value = np.searchsorted(self.keys, f2[order]).astype(np.int32), s[order]
+
+    def squares(self, f: np.ndarray, w: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """w S w of each document."""
+        out, x = np.zeros(len(offs) - 1), np.zeros(len(self.keys))
+        if not len(self.keys):
+            return out
+        at = np.minimum(np.searchsorted(self.keys, f), len(self.keys) - 1)
+        known = self.keys[at] == f
+        for i in range(len(out)):
+            own = slice(offs[i], offs[i + 1])
+            words, mine = at[own][known[own]], w[own][known[own]]
+            np.add.at(x, words, mine)
+            count = self.start[words + 1] - self.start[words]
+            cells = np.arange(count.sum()) + np.repeat(self.start[words] - (np.cumsum(count) - count), count)
+            out[i] = (self.value[cells] * x[self.column[cells]] * np.repeat(mine, count)).sum()
+            x[words] = 0
+        return out
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offs = column.offsets.to_numpy()
+    return column.values.to_numpy()[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _soft_tile(threshold: float, digits: int | None):
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(asked) or not len(held):
+            return pa.table({"doc1": asked["id"].slice(0, 0), "doc2": held["id"].slice(0, 0), "sim": pa.array([], pa.float64())})
+        asked, held = asked.combine_chunks().to_batches()[0], held.combine_chunks().to_batches()[0]
+        (qf, qo), (df, do) = _flat(asked["f"]), _flat(held["f"])
+        qw, dw = _flat(asked["w"])[0], _flat(held["w"])[0]
+        n1, n2 = asked["n"].to_numpy(), held["n"].to_numpy()
+        words, col = np.unique(qf, return_inverse=True)
+        at = np.minimum(np.searchsorted(words, df), max(len(words) - 1, 0))
+        hit = np.flatnonzero(words[at] == df) if len(words) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(held)), np.diff(do))[hit]
+        at, dw = at[hit], dw[hit]
+        # about 32,768 features of whole documents at once
+        ends = np.unique(np.searchsorted(doc, doc[np.minimum(np.arange(1 << 15, len(doc) + (1 << 15), 1 << 15), len(doc)) - 1], "right")) if len(doc) else []
+        stretches = [slice(int(x), int(y)) for x, y in zip([0, *ends], ends)]
+        found = []
+        for lo in range(0, len(asked), 32):  # queries that a dense stripe holds at once
+            hi = min(lo + 32, len(asked))
+            cells = slice(qo[lo], qo[hi])
+            stripe = np.zeros((len(words), hi - lo))
+            np.add.at(stripe, (col[cells], np.repeat(np.arange(hi - lo), np.diff(qo[lo : hi + 1]))), qw[cells])
+            meets = stripe != 0 if threshold <= 0 else None
+            for cut in stretches:
+                heads = np.flatnonzero(np.diff(doc[cut], prepend=-1))
+                rows = doc[cut][heads]
+                top = np.add.reduceat(stripe[at[cut]] * dw[cut, None], heads, axis=0)
+                product = n2[rows][:, None] * n1[lo:hi][None, :]
+                sim = np.where(product > 0, top / np.sqrt(np.where(product > 0, product, 1)), 0.0)
+                keep = sim >= threshold - (10.0**-digits if digits is not None else 0.0)
+                if meets is not None:
+                    keep &= np.logical_or.reduceat(meets[at[cut]], heads, axis=0)
+                i, j = np.nonzero(keep)
+                found.append((j + lo, rows[i], sim[i, j]))
+        a, b, c = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"doc1": asked["id"].take(pa.array(a)), "doc2": held["id"].take(pa.array(b)), "sim": pa.array(c, pa.float64())})
+
+    return run
+
+
 def soft_cosine_join(queries: DataFrame, index: DataFrame, word_sims: DataFrame, threshold: float = 0.0, digits: int | None = None) -> DataFrame:
     """q S d / sqrt(q S q * d S d) for sparse rows and the edges (w1, w2, s) of S,
     diagonal included. Undefined values are 0 and only kept at threshold 0 if a pair
-    meets. Each input is used two or three times, so it is computed once and written."""
-    queries, index = store(queries, "queries")[0], store(index, "index")[0]
-    edges = store(word_sims.select("w1", "w2", "s"), "edges")[0]
-
-    def through(rows: DataFrame) -> DataFrame:
-        hop = rows.join(edges, rows["feature"] == edges["w1"])
-        return hop.groupBy("id", F.col("w2").alias("feature")).agg(F.sum(F.col("w") * F.col("s")).alias("w"))
-
-    def norms(rows: DataFrame, doc: str, name: str) -> DataFrame:
-        other = through(rows).select("id", "feature", F.col("w").alias("sw"))
-        return rows.join(other, ["id", "feature"]).groupBy(F.col("id").alias(doc)).agg(F.sum(F.col("w") * F.col("sw")).alias(name))
-
-    a = through(queries).select(F.col("id").alias("doc1"), "feature", F.col("w").alias("w1"))
-    b = index.select(F.col("id").alias("doc2"), "feature", F.col("w").alias("w2"))
-    top = a.join(b, "feature").groupBy("doc1", "doc2").agg(F.sum(F.col("w1") * F.col("w2")).alias("top"))
-    rows = top.join(norms(queries, "doc1", "n1"), "doc1").join(norms(index, "doc2", "n2"), "doc2")
-    product = F.col("n1") * F.col("n2")
-    sim = F.when(product > 0, F.col("top") / F.sqrt(product)).otherwise(F.lit(0.0))
-    sim = F.round(sim, digits) if digits is not None else sim
-    return rows.select("doc1", "doc2", sim.alias("sim")).where(F.col("sim") >= threshold)
+    meets. Queries are multiplied by S once, by a join; tiles of queries and documents
+    are multiplied densely. Features are hashed to 64 bits."""
+    spark = queries.sparkSession
+    hashed = lambda rows: rows.select("id", F.xxhash64("feature").alias("f"), "w")
+    edges, _, size = store_with(word_sims.select(F.xxhash64("w1").alias("f1"), F.xxhash64("w2").alias("f2"), F.col("s").cast("double").alias("s")), "edges")
+    few = size["n"] <= BROADCAST_EDGES
+    q, _ = store(hashed(queries), "queries")
+    hop = lambda rows: rows.join(F.broadcast(edges) if few else edges, rows["f"] == edges["f1"]).groupBy("id", F.col("f2").alias("f")).agg(F.sum(F.col("w") * F.col("s")).alias("w"))
+    turned, _ = store(hop(q), "turned")
+    norm = lambda rows, other: rows.join(other.withColumnRenamed("w", "v"), ["id", "f"]).groupBy("id").agg(F.sum(F.col("w") * F.col("v")).alias("n"))
+    asked, _, n = store_with(_gathered(turned.join(norm(q, turned), "id"), "n"), "asked")
+    if few:
+        matrix = spark.sparkContext.broadcast(Edges(edges.toArrow()))
+
+        def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                f, offs = _flat(batch["f"])
+                yield batch.append_column("n", pa.array(matrix.value.squares(f, _flat(batch["w"])[0], offs)))
+
+        rows = _gathered(hashed(index))
+        kind = rows.schema["id"].dataType.simpleString()
+        held, _, m = store_with(rows.mapInArrow(measured, f"id {kind}, f array<bigint>, w array<double>, n double"), "held")
+    else:
+        d, _ = store(hashed(index), "index")
+        held, _, m = store_with(_gathered(d.join(norm(d, hop(d)), "id"), "n"), "held")
+    tall, wide = max(1, -(-n["n"] // TILE[0])), max(1, -(-m["n"] // TILE[1]))
+    block = lambda df, own, mine, other, theirs: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    a = block(asked.select("id", "n", "f", "w"), tall, "t", wide, "u").select("t", "u", "id", "n", "f", "w")
+    b = block(held.select("id", "n", "f", "w"), wide, "u", tall, "t").select("t", "u", "id", "n", "f", "w").toDF("tt", "uu", "id", "n", "f", "w")
+    kinds = [df.schema["id"].dataType.simpleString() for df in (asked, held)]
+    sims = a.groupBy("t", "u").cogroup(b.groupBy("tt", "uu")).applyInArrow(_soft_tile(threshold, digits), f"doc1 {kinds[0]}, doc2 {kinds[1]}, sim double")
+    return _rounded(sims, threshold, digits)
 
 
 def weighted_vectors(weights: DataFrame, vectors: DataFrame, lengths: DataFrame, strict: bool = False) -> DataFrame:

@@ -15,11 +15,14 @@ from retexa.operators import setjoin
 
 
 def containment_stream(stream: DataFrame, index: DataFrame, path: str, doc_id: str, threshold: float = 0.5) -> DataStreamWriter:
-    """A writer, to be started, that appends (doc1, doc2, sim) to Parquet at path for
-    each stream document (doc_id, text); index is a table (id, features)."""
+    """A writer, to be started, that puts (doc1, doc2, sim) in Parquet under path for each
+    stream document (doc_id, text); index is a table (id, features). A batch has its own
+    folder, batch=<number>, and overwrites it when it is run again."""
+    postings = setjoin.hashed(index).persist()  # every batch joins the same index
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         docs = batch.select(F.col(doc_id).alias("id"), F.transform(X.tokens(F.lower("text")), lambda t: t).alias("features"))
-        setjoin.set_join(docs, index, "containment", threshold).write.mode("append").parquet(path)
+        sims = setjoin.naive(setjoin.hashed(docs), postings, "containment", threshold)
+        sims.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(each)
