@@ -351,11 +351,14 @@ def word_sims_cutoff_beta(spark, d):
     return edges.withColumn("s", F.round("s", 6))
 
 
-@query(f"""{BASE}, {_IDF}, {_WEIGHTS}, {_VECTORS}, {_EDGES}, ss AS (SELECT w1, w2, s FROM e UNION ALL SELECT w, w, 1.0 FROM v),
+_SOFT_SQL = f"""{BASE}, {_IDF}, {_WEIGHTS}, {_VECTORS}, {_EDGES}, ss AS (SELECT w1, w2, s FROM e UNION ALL SELECT w, w, 1.0 FROM v),
 qh AS (SELECT id, w2 AS w, sum(x * s) AS x FROM qw JOIN ss ON w = w1 GROUP BY ALL), dh AS (SELECT id, w2 AS w, sum(x * s) AS x FROM dw JOIN ss ON w = w1 GROUP BY ALL),
 qz AS (SELECT a.id, sum(a.x * b.x) AS z FROM qw a JOIN qh b USING (id, w) GROUP BY a.id), dz AS (SELECT a.id, sum(a.x * b.x) AS z FROM dw a JOIN dh b USING (id, w) GROUP BY a.id),
 t AS (SELECT a.id AS doc1, b.id AS doc2, sum(a.x * b.x) AS x FROM qh a JOIN dw b USING (w) GROUP BY ALL)
-SELECT doc1, doc2, round(x / sqrt(qz.z * dz.z), 6) AS sim FROM t JOIN qz ON qz.id = doc1 JOIN dz ON dz.id = doc2 WHERE round(x / sqrt(qz.z * dz.z), 6) >= 0.25""")
+SELECT doc1, doc2, round(x / sqrt(qz.z * dz.z), 6) AS sim FROM t JOIN qz ON qz.id = doc1 JOIN dz ON dz.id = doc2 WHERE round(x / sqrt(qz.z * dz.z), 6) >= 0.25"""
+
+
+@query(_SOFT_SQL)
 def soft_cosine(spark, d):
     """Soft cosine of tf-idf vectors over word similarities."""
     q, docs = both(spark, d)
@@ -409,6 +412,11 @@ def vector_kernels(spark, d):
     return pairs.select("vec_id", *(F.round(V.pairwise(n, F.col("x"), F.col("y")), 6).alias(n) for n in names))
 
 
+_DENSE_SQL = f"""{DBASE}, {_VECTORS}, v AS (SELECT w, count(*) AS df FROM dc GROUP BY w), i AS (SELECT w, ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1 AS idf FROM v),
+y AS (SELECT id, w, tf * idf AS x FROM dc JOIN i USING (w)), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM y GROUP BY id)
+SELECT id, i, round(sum(x * v) / any_value(t), 6) + 0.0 AS x FROM (SELECT y.id, x / n.n AS x, unnest(vec) AS v, unnest(range(0, len(vec))) AS i, dn.t FROM y JOIN n ON n.id = y.id JOIN dn ON dn.id = y.id JOIN wv ON word = w) GROUP BY id, i"""
+
+
 @query(f"""{BASE}, {_VECTORS}, c AS (SELECT id, i, sum(tf * x) AS x FROM (SELECT id, tf, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM qc JOIN wv ON word = w) GROUP BY ALL)
 SELECT c.id, i, round(x / t, 6) AS x FROM c JOIN qn ON qn.id = c.id""")
 def mean_embedding(spark, d):
