@@ -91,6 +91,39 @@ def test_soft_cosine(spark):
         assert math.isclose(v, form(counts[i], counts[j]) / math.sqrt(form(counts[i], counts[i]) * form(counts[j], counts[j])))
 
 
+def test_soft_cosine_by_joins_and_small_tiles(spark, monkeypatch):
+    docs = [d or ["w0"] for d in bags(6, 30)]
+    w = vsm.bag_of_words(frame(spark, docs))
+    vocab = sorted({f for x in docs for f in x})
+    edges = spark.createDataFrame([(a, b, 1.0 if a == b else 0.4) for a in vocab for b in vocab if abs(int(a[1:]) - int(b[1:])) <= 1], "w1 string, w2 string, s double")
+    want = rows(vsm.soft_cosine_join(w, w, edges, 0.2))
+    monkeypatch.setattr(vsm, "TILE", (3, 4))
+    assert rows(vsm.soft_cosine_join(w, w, edges, 0.2)).keys() == want.keys()
+    monkeypatch.setattr(vsm, "BROADCAST_EDGES", 0)
+    got = rows(vsm.soft_cosine_join(w, w, edges, 0.2))
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
+
+
+def test_dot_join_prunes_nothing(spark):
+    docs = [d for d in bags(7, 40) if d]
+    d = frame(spark, docs)
+    w = vsm.tfidf(d, vsm.idf(d)).selectExpr("id", "feature", "w * (1 + id % 3) w")  # norms of 1 to 3
+    every = rows(vsm.dot_join(w, w, 0.0))
+    for t in (0.2, 0.7, 2.5):
+        got = rows(vsm.dot_join(w, w, t))
+        assert got.keys() == {k for k, v in every.items() if v >= t} and all(math.isclose(got[k], every[k]) for k in got)
+
+
+def test_nearest_keeps_ties_of_a_tile(spark, monkeypatch):
+    from retexa.operators import wordvecs
+
+    vecs = spark.createDataFrame([(f"w{i:02}", [1.0, float(i // 5)]) for i in range(20)], "word string, vec array<double>")
+    want = {(r["w1"], r["rank"]): r["w2"] for r in wordvecs.nearest(vecs, n=3).collect()}
+    assert want["w00", 1] == "w01" and want["w00", 3] == "w03" and want["w04", 1] == "w00"
+    monkeypatch.setattr(wordvecs, "BLOCK", 4)
+    assert {(r["w1"], r["rank"]): r["w2"] for r in wordvecs.nearest(vecs, n=3).collect()} == want
+
+
 def test_statistics_and_selection(spark):
     docs = [["a", "b", "a"], ["b", "c"], ["a", "c", "d"]]
     d = frame(spark, docs).withColumnRenamed("id", "doc_idx")

@@ -2,6 +2,7 @@
 
 import ast
 import gzip
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -43,6 +44,28 @@ def test_token_files(spark, tmp_path):
         readers.read_tokens(spark, f, fields=("lemma",))
 
 
+def test_files_of_many_splits(spark, tmp_path):
+    """Sentences and line numbers where splits begin anywhere, blank runs and a header included."""
+    import random
+
+    r = random.Random(0)
+    lines = [r.choice(["", "", f"t{i}\tl{i}"]) if r.random() < 0.4 else f"t{i}\tl{i}" for i in range(4000)]
+    f, g = write(tmp_path / "one.tsv", "\n".join(lines)), write(tmp_path / "two.tsv", "token\tlemma\n" + "\n".join(lines) + "\n")
+    want = [s.split() for s in re.split(r"\n\n+", "\n".join(x.split("\t")[0] for x in lines).strip("\n"))]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for path, kw in ((f, {"fields": ("token", "lemma")}), (g, {"header": True})):
+            got = {x["sentence"]: tokens(x) for x in readers.read_tokens(spark, path, **kw).collect()}
+            assert got == dict(enumerate(want))
+        assert tokens(readers.read_document(spark, f, fields=("token", "lemma")).first()) == [w for s in want for w in s]
+        plain = {x["line_no"]: tokens(x)[0] for x in readers.read_plain(spark, f).collect()}
+        assert plain == dict(enumerate(w for s in want for w in s))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_plain_files(spark, tmp_path):
     f = write(tmp_path / "p.txt", "one two\n\n  three  \n")
     assert [(r["line_no"], tokens(r)) for r in readers.read_plain(spark, f).orderBy("line_no").collect()] == [(0, ["one", "two"]), (1, ["three"])]

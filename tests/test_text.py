@@ -66,5 +66,6 @@ def test_shingles(spark, n, window, overlap, want):
 
 def test_marks_and_features(spark):
     assert column(spark, ["éàü", "ñ", None, "abc"], X.strip_marks, "string") == ["eau", "n", None, "abc"]
+    assert column(spark, ["שָׁלוֹם", "كِتَاب"], X.strip_marks, "string") == ["שלום", "كتاب"]  # points of other scripts
     assert column(spark, [["a", "b", "a"], ["a"]], lambda c: X.doc_features(c, distinct=True, least=2)) == [["a", "b"], []]
     assert column(spark, [["a", "b"], ["a"]], lambda c: X.doc_features(c, density=0.5, n_words=F.lit(4))) == [["a", "b"], []]
