@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +112,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, ridge: float = 0
     weight is its prior deviation times a number under a ridge; no feature is left out."""
     low = K.text_column(texts, lower=True)
     n, y = len(texts), toxic.astype(bool)
-    bag, feats, first = [], [], []
+    bag, feats, first, keys = [], [], [], np.zeros(0, U)
     for i, b, offs in _texts(low):
         r, _, _, _, o, h = features(b, offs)
         order = np.lexsort((h, o))
@@ -120,21 +121,21 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, ridge: float = 0
         new[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
         bag.append((r + i).astype(np.int32))
         feats.append(h[new])
+        keys = np.union1d(keys, h)
         first.append(np.bincount(o[new], minlength=len(r)))
-    if not sum(len(x) for x in feats):
+    if not len(keys):
         return Model(np.zeros(0, U), np.zeros(0), BIAS, THRESHOLD)
-    bag, size, feats = np.concatenate(bag), np.concatenate(first), np.concatenate(feats)
-    del first
-    keys = np.unique(feats)
-    feature = np.empty(len(feats), np.int32)
+    for k, h in enumerate(feats):
+        feats[k] = np.searchsorted(keys, h).astype(np.int32)
+    bag, size, feature = np.concatenate(bag), np.concatenate(first), np.concatenate(feats)
+    del first, feats
     start = np.cumsum(size) - size  # every sentence holds a word, so none is empty
     # stretches of whole sentences, so that memory follows the sample's entries by 4 bytes each
-    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(feats), ENTRIES)), len(size)))
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(feature), ENTRIES)), len(size)))
     parts = [(slice(i, j), slice(start[i], start[j - 1] + size[j - 1])) for i, j in zip(cuts[:-1], cuts[1:])]
     pos, neg = np.zeros(len(keys)), np.zeros(len(keys))
     tail = np.zeros(0, np.int64)
     for sents, entries in parts:
-        feature[entries] = np.searchsorted(keys, feats[entries])
         pair = np.repeat(bag[sents].astype(np.int64), size[sents]) * len(keys) + feature[entries]
         pair = np.unique(np.concatenate([tail, pair]))
         last = pair // len(keys) == bag[sents.stop - 1]  # the last document may go on in the next stretch
@@ -143,7 +144,6 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, ridge: float = 0
             mine = y[done // len(keys)]
             pos += np.bincount(done[mine] % len(keys), minlength=len(keys))
             neg += np.bincount(done[~mine] % len(keys), minlength=len(keys))
-    del feats
     spread = _evidence(pos, neg, y)
     u, bias = np.ones(len(keys)), -4.0
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
@@ -188,26 +188,39 @@ def score(model: Model, texts: pa.Array):
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_bytes: int = 16_000_000) -> Model | None:
     """Fit on a bounded sample: at most max_per_class documents and max_bytes of text of either class."""
+    spark = docs.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     side = lambda v: marks.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
     ids = side(1).unionByName(side(0))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows, path = store(rows, "sample")
-    size = rows.select("doc_id", "toxic", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
-    size = size[size["bytes"] <= max_bytes]
-    taken = size[size.groupby("toxic")["bytes"].cumsum() <= max_bytes]
-    if taken["toxic"].nunique() < 2:
-        discard(docs.sparkSession, path)
+    size = rows.select("doc_id", "toxic", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("h")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    size = size.filter(pc.less_equal(size["bytes"], max_bytes))
+    ids, toxic, held = (size[c].to_numpy() for c in ("doc_id", "toxic", "bytes"))
+    fits = np.zeros(len(ids), bool)
+    for side in (0, 1):
+        fits[toxic == side] = np.cumsum(held[toxic == side], dtype=np.int64) <= max_bytes
+    if len(np.unique(toxic[fits])) < 2:
+        discard(spark, path)
         return None
-    chosen = docs.sparkSession.createDataFrame(taken[["doc_id"]], rows.select("doc_id").schema)
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").toArrow().sort_by("doc_id")
-    discard(docs.sparkSession, path)
-    share = dict(marks.groupBy("toxic").count().toPandas().itertuples(index=False))
-    y = np.asarray(sample["toxic"].to_numpy() == 1)
-    weight = np.where(y, share.get(1, 1) / y.sum(), share.get(0, 1) / (~y).sum())
-    weight = weight / weight.mean()
-    model = fit(sample["text"].combine_chunks(), y, weight)
-    return model if len(model.keys) else None
+    chosen = spark.createDataFrame(pa.table({"doc_id": ids[fits]}))
+    share = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches(list(batches)).sort_by("doc_id")
+        y = sample["toxic"].to_numpy() == 1
+        weight = np.where(y, share.get(1, 1) / y.sum(), share.get(0, 1) / (~y).sum())
+        model = fit(sample["text"].cast(pa.large_string()).combine_chunks(), y, weight / weight.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(model.keys.view(np.int64)), pa.array(model.weights), pa.array(np.full(len(model.keys), model.bias))], ["key", "weight", "bias"])
+
+    # the bounded sample is one task's work; the driver gets the model alone
+    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").repartition(1).mapInArrow(run, "key bigint, weight double, bias double").toArrow()
+    discard(spark, path)
+    if not len(got):
+        return None
+    keys = got["key"].to_numpy().view(U)
+    order = np.argsort(keys)
+    return Model(keys[order], got["weight"].to_numpy()[order], got["bias"][0].as_py(), THRESHOLD)
 
 
 def flag_toxic(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000) -> DataFrame:

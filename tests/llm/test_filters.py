@@ -187,8 +187,8 @@ def test_gumbel_top_k_is_exact(spark):
     texts, marks = judged(spark, 200)
     df = docs(spark, texts)
     models = quality.learn(df, marks)
-    logw, key, _ = quality.keyed(models, pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts}), 6)
-    k = round((1 / (1 + np.exp(-(logw + models.odds)))).sum())
+    _, key, rest = quality.keyed(models, pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts}), 6)
+    k = round((1 / (1 + np.exp(-(rest + models.odds)))).sum())
     want = set(np.argsort(-key)[:k].tolist())
     assert {r["doc_id"] for r in quality.resample(df, marks).collect()} == want
     raw, _ = quality.counts(df, marks.where("quality > 0").select("doc_id"))
