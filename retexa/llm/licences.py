@@ -139,11 +139,14 @@ class Scanner:
     terms: Terms
     idf: np.ndarray
     unit: np.ndarray
+    most: np.ndarray
 
     @classmethod
     def fitted(cls, terms: Terms, df: np.ndarray, n: int) -> Scanner:
-        w = terms.tf * weight(df, n)
-        return cls(terms, weight(df, n), (w / np.linalg.norm(w, axis=1, keepdims=True)).T.copy())
+        idf = weight(df, n)
+        w = terms.tf * idf
+        unit = (w / np.linalg.norm(w, axis=1, keepdims=True)).T.copy()
+        return cls(terms, idf, unit, idf * unit.max(axis=1))
 
     def segments(self, b: np.ndarray, offs: np.ndarray, threshold: float):
         """Segments that can reach the threshold: row, share of the row's words, squared norm
@@ -154,11 +157,11 @@ class Scanner:
         term = self.terms.number(h)
         known = term >= 0
         a, z = spans(b, starts, row, known)
-        # a norm is at most the sum of the weights, and other words add at least their number to its square
-        most = np.concatenate([[0.0], np.cumsum(np.where(known, self.idf[term], 0.0))])
-        seen = np.concatenate([[0], np.cumsum(known)])
-        most, other = (most[z] - most[a]) ** 2, z - a - (seen[z] - seen[a])
-        able = (most > 0) & (most * (1 - threshold**2) >= threshold**2 * other - 1e-9)
+        # products add up over the words as they stand, each at most its largest with any template;
+        # a norm's square is at least the sum of the words' squared weights, those of other words at least 1
+        total = lambda x: (s := np.concatenate([[0.0], np.cumsum(x)]))[z] - s[a]
+        product, least = total(np.where(known, self.most[term], 0.0)), total(np.where(known, self.idf[term] ** 2, 1.0))
+        able = (product > 1e-9) & (product >= threshold * np.sqrt(np.maximum(least, 0)) - 1e-6)
         a, z = a[able], z[able]
         if not len(a):
             return None
