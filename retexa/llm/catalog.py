@@ -80,7 +80,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, through a cache that holds what an earlier run
     over the labelled documents stored."""
     docs, cache = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token_counts-{uuid.uuid4().hex}"
-    token_counts.count_tokens(docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), cache)
+    ids = _table(spark, sf_dir, "labels").select("doc_id")
+    few = ids.count() <= token_counts.BROADCAST_DIGESTS
+    token_counts.count_tokens(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), cache)
     return token_counts.count_tokens(docs, cache)
 
 
