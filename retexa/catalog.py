@@ -171,10 +171,8 @@ def context_left_right(spark, d):
 FROM (SELECT id, f, unnest(range(0, len(f), 15)) AS start FROM d)""")
 def shingle_context(spark, d):
     """Eight words on both sides of every window, within its document."""
-    docs = coll(spark, d, "documents")
-    s = docs.select("id", "words", F.posexplode(X.shingles(F.col("words"))).alias("shingle", "s"))
-    left, right = context.in_parent(F.col("words"), F.col("s.start"), F.col("s.stop"), 8, "lemma")
-    return s.select(F.col("id").alias("doc_id"), F.col("shingle").cast("bigint").alias("shingle"), left.alias("left"), right.alias("right"))
+    s = context.of_windows(coll(spark, d, "documents"), 8)
+    return s.select(F.col("id").alias("doc_id"), F.col("shingle").cast("bigint").alias("shingle"), "left", "right")
 
 
 # -- statistics and selection

@@ -145,14 +145,19 @@ def doc_features(features: Column, distinct: bool = False, least: int = 0, densi
     return F.array_distinct(out) if distinct else out
 
 
-def shingles(ws: Column, window: int = 20, overlap: int = 5, drop_contained_tail: bool = False) -> Column:
-    """Windows (start, stop, words) every window - overlap words; the last ones are
-    short, and may lie within their predecessor unless dropped."""
+def window_starts(n: Column, window: int = 20, overlap: int = 5, drop_contained_tail: bool = False) -> Column:
+    """Where the windows of n > 0 words start."""
     if not 0 <= overlap < window:
         raise ValueError("need 0 <= overlap < window")
-    n, step = F.size(ws), window - overlap
     last = F.greatest(F.lit(0), n - overlap - 1) if drop_contained_tail else n - 1
-    spans = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.struct(s.alias("start"), F.least(s + window, n).alias("stop"), F.slice(ws, s + 1, F.least(F.lit(window), n - s)).alias("words")))
+    return F.sequence(F.lit(0), last, F.lit(window - overlap))
+
+
+def shingles(ws: Column, window: int = 20, overlap: int = 5, drop_contained_tail: bool = False) -> Column:
+    """Windows (start, stop, words) every window - overlap words; the last ones are
+    short, and may lie within their predecessor unless dropped."""
+    n = F.size(ws)
+    spans = F.transform(window_starts(n, window, overlap, drop_contained_tail), lambda s: F.struct(s.alias("start"), F.least(s + window, n).alias("stop"), F.slice(ws, s + 1, F.least(F.lit(window), n - s)).alias("words")))
     return F.when(n > 0, spans).otherwise(F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.slice(ws, 1, 0).alias("words"))), 1, 0))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from retexa.functions import text as X
 from retexa.plans.ranking import accumulated
 
 
@@ -47,3 +48,17 @@ def in_parent(words: Column, start: Column, stop: Column, n: int, field: str = "
     left = F.array_join(F.slice(t, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n))), " ")
     right = F.array_join(F.slice(t, stop + 1, F.lit(n)), " ")
     return left, right
+
+
+def of_windows(docs: DataFrame, n: int, window: int = 20, overlap: int = 5, field: str = "lemma") -> DataFrame:
+    """(id, shingle, left, right) of every window of the documents (id, words), n words each.
+
+    The texts are made before windows become rows, which would each carry the whole
+    document, and word by word, because a slice within a lambda copies it too.
+    """
+    rows = docs.select("id", F.transform("words", lambda w: w[field]).alias("t")).withColumn("n", F.size("t"))
+    size, none = F.col("n"), F.array().cast("array<string>")
+    part = lambda lo, hi: F.array_join(F.when(lo < hi, F.transform(F.sequence(lo + 1, hi), lambda i: F.element_at(F.col("t"), i))).otherwise(none), " ")
+    both = lambda s: F.struct(part(F.greatest(s - n, F.lit(0)), s).alias("left"), part(F.least(s + window, size), F.least(s + window + n, size)).alias("right"))
+    rows = rows.where("n > 0").select("id", F.posexplode(F.transform(X.window_starts(size, window, overlap), both)).alias("shingle", "s"))
+    return rows.select("id", "shingle", "s.left", "s.right")

@@ -31,3 +31,12 @@ def test_dense_features_of_blank_texts_are_as_in_sql(spark, tmp_path):
     want = by_sql("dense_features", path, "documents")
     assert [r[0] for r in want] == [0, 2, 3]
     assert by_query(spark, "dense_features", path) == want
+
+
+def test_window_contexts_of_a_long_document(spark, tmp_path):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 1, 20, 21, 47, 20_000)]
+    path = saved(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert by_query(spark, "shingle_context", path) == by_sql("shingle_context", path, "documents")
+    # no row on the way holds a document beside a window of it
+    plan = context.of_windows(catalog.coll(spark, path, "documents"), 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Generate" in x and "words" in x] == []
