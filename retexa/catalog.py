@@ -18,7 +18,7 @@ from retexa.functions import vectors as V
 from retexa.operators import align, collections, context, evaluate, features, results, setjoin, transport, vsm, wordvecs
 from retexa.plans import reuse
 from retexa.plans.ranking import ranked
-from retexa.session import shared_dir
+from retexa.session import shared_dir, store
 from retexa.streaming import incoming
 
 STOPWORDS = ("the", "of", "and", "a", "to", "in", "is", "der", "die", "und", "de", "la", "el", "que", "les", "le")
@@ -325,8 +325,7 @@ def tfidf_self(spark, d):
 
 @query(f"{BASE}, {_IDF}, {_WEIGHTS.replace('tf * idf', 'tf')}, sims AS (SELECT a.id AS doc1, b.id AS doc2, round(sum(a.x * b.x), 6) AS sim FROM qw a JOIN dw b USING (w) GROUP BY ALL HAVING round(sum(a.x * b.x), 6) >= 0.4) SELECT * FROM sims")
 def bow_cosine(spark, d):
-    a, b = both(spark, d)
-    return vsm.dot_join(vsm.bag_of_words(a), vsm.bag_of_words(b), 0.4, 6)
+    return vsm.bow_join(*both(spark, d), threshold=0.4, digits=6)
 
 
 def word_table(spark, d):
@@ -537,7 +536,8 @@ SELECT doc1, doc2, array_to_string(shared, ' ') AS shared, array_to_string(list_
   array_to_string(list_transform(list_filter(range(1, len(b) + 1), lambda i: list_contains(shared, b[i])), lambda i: i - 1), ' ') AS at2 FROM x""")
 def matching_words(spark, d):
     """Where both texts of each item's best match hold the words they share."""
-    side = lambda name: coll(spark, d, name).join(bags(spark, d, name), "id")
+    keys = {"benchmark": "item_id", "documents": "doc_id"}
+    side = lambda name: table(spark, d, name).select(F.col(keys[name]).alias("id"), X.words(F.col("text")).alias("words"), X.tokens(F.lower("text")).alias("features"))
     best = results.ranking(_candidates(spark, d), 1)
     out = results.matching_words(best, side("benchmark"), side("documents"))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
@@ -549,8 +549,9 @@ def matching_words(spark, d):
 
 def _evaluated(spark, d):
     q, docs = both(spark, d)
-    sims = vsm.tfidf_join(q, docs, threshold=0.25, digits=6)
-    links = setjoin.set_join(q, docs, "containment", 1.0)
+    # both are read several times
+    sims, _ = store(vsm.tfidf_join(q, docs, threshold=0.25, digits=6), "sims")
+    links, _ = store(setjoin.set_join(q, docs, "containment", 1.0), "links")
     refs = links.groupBy(F.col("doc1").alias("ref_id")).agg(F.collect_list("doc2").alias("target")).select("ref_id", F.array("ref_id").alias("source"), "target")
     return sims, refs, q.select(F.col("id").alias("doc1"))
 

@@ -12,14 +12,18 @@ and with what lies behind the prefix they bound its overlap, so that full sets o
 meet for pairs that may pass, and these are verified exactly. A join of a table with
 itself finds each unordered pair once where the measure is symmetric. Features
 travel as 64-bit hashes. Without a useful prefix (threshold 0, or by choice) shared
-features are counted by an equi-join.
+features are counted by an equi-join. A small query side is sent to every executor
+instead, whatever the threshold, and the index counts what it shares with it in place.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retexa.operators import packed
+
 MEASURES = ("jaccard", "containment", "containment_min", "cosine")
 #: Share of a query that its prefix is longer by for containment, so that counts can rule pairs out.
 LONGER = 0.1
@@ -118,18 +122,33 @@ def prefixed(queries: DataFrame, index: DataFrame, measure: str, threshold: floa
     return found.unionByName(queries.select(F.col("id").alias("doc1"), F.col("id").alias("doc2"), F.lit(1.0).alias("sim")))
 
 
+def few(queries: DataFrame, index: DataFrame, measure: str, threshold: float) -> DataFrame:
+    """Every pair of a small query side, (id, features) both."""
+    share = threshold * threshold if measure == "cosine" else threshold
+    least = {"jaccard": lambda g: g["n1"] + g["n2"] - g["x"], "containment": lambda g: g["n1"], "containment_min": lambda g: np.maximum(g["n1"], g["n2"]), "cosine": lambda g: g["n1"] * g["n2"] / g["x"]}[measure]
+    met = packed.few_join(packed.Postings(_ones(packed.counted(queries)).toArrow()), _ones(packed.counted(index)), keep=lambda g: g["x"] >= least(g) * share * (1 - 1e-9))
+    return met.select("doc1", "doc2", similarity(measure, F.col("x").cast("bigint"), F.col("n1"), F.col("n2")).alias("sim")).where(F.col("sim") >= threshold)
+
+
+def _ones(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("w", F.transform("w", lambda _: F.lit(1.0)))
+
+
 def set_join(queries: DataFrame, index: DataFrame | None = None, measure: str = "containment", threshold: float = 0.5, drop_self: bool | None = None, plan: str = "auto") -> DataFrame:
     """(doc1, doc2, sim) for all pairs with sim >= threshold and a shared feature.
 
     Without an index the table is joined with itself and the diagonal dropped,
-    unless drop_self says otherwise. plan: prefix, naive, or auto, which takes
-    prefixes where they are short (threshold of at least 0.5).
+    unless drop_self says otherwise. plan: prefix, naive, few, or auto, which takes few
+    if the queries are, else prefixes where they are short (threshold of at least 0.5).
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}; known: {', '.join(MEASURES)}")
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie in [0, 1]")
     same = index is None
+    if plan == "few" or (plan == "auto" and not same and packed.small(queries)):
+        out = few(queries, queries if same else index, measure, threshold)
+        return out.where("doc1 <> doc2") if (same if drop_self is None else drop_self) else out
     a = hashed(queries)
     b = a if same else hashed(index)
     use_prefix = plan == "prefix" or (plan == "auto" and threshold >= 0.5)
@@ -142,6 +161,11 @@ def weighted_join(queries: DataFrame, index: DataFrame | None = None, measure: s
     if measure not in ("weighted_jaccard", "weighted_containment"):
         raise ValueError(f"unknown measure {measure!r}")
     same = index is None
+    if not same and packed.small(queries):
+        part = (lambda g: g["t1"] + g["t2"] - g["x"]) if measure == "weighted_jaccard" else (lambda g: g["t2"])
+        met = packed.few_join(packed.Postings(packed.counted(queries).toArrow()), packed.counted(index), "least", lambda g: g["x"] >= part(g) * threshold * (1 - 1e-9))
+        m = met.select("doc1", "doc2", *(F.col(c).cast("bigint").alias(n) for c, n in (("x", "m"), ("t1", "t1"), ("t2", "t2"))))
+        return _weighted(m, measure, threshold, bool(drop_self))
 
     def side(docs: DataFrame, doc: str, c: str, t: str) -> DataFrame:
         rows = docs.select("id", F.size("features").alias("t"), F.explode("features").alias("f")).groupBy("id", "t", "f").agg(F.count("*").alias("c"))
@@ -149,9 +173,13 @@ def weighted_join(queries: DataFrame, index: DataFrame | None = None, measure: s
 
     joined = side(queries, "doc1", "c1", "t1").join(side(queries if same else index, "doc2", "c2", "t2"), "f")
     m = joined.groupBy("doc1", "doc2").agg(F.sum(F.least("c1", "c2")).alias("m"), F.first("t1").alias("t1"), F.first("t2").alias("t2"))
+    return _weighted(m, measure, threshold, same if drop_self is None else drop_self)
+
+
+def _weighted(m: DataFrame, measure: str, threshold: float, drop_self: bool) -> DataFrame:
     sim = F.col("m") / (F.col("t1") + F.col("t2") - F.col("m")) if measure == "weighted_jaccard" else F.col("m") / F.col("t2")
     out = m.select("doc1", "doc2", sim.alias("sim")).where(F.col("sim") >= threshold)
-    return out.where("doc1 <> doc2") if (same if drop_self is None else drop_self) else out
+    return out.where("doc1 <> doc2") if drop_self else out
 
 
 def pair_measures(a: Column, b: Column) -> dict[str, Column]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from retexa.operators import packed
 from retexa.session import store, store_with
 
 #: Edges of a word-similarity matrix sent to every executor at most (24 bytes each); beyond it
@@ -95,8 +96,41 @@ def _rounded(sims: DataFrame, threshold: float, digits: int | None) -> DataFrame
     return sims.where(F.col("sim") >= threshold)
 
 
+def bow_join(queries: DataFrame, index: DataFrame, threshold: float = 0.25, digits: int | None = None) -> DataFrame:
+    """Cosine of the counts of two collections."""
+    if not packed.small(queries):
+        return dot_join(bag_of_words(queries), bag_of_words(index), threshold, digits)
+    asked = packed.Postings(packed.normalised(packed.counted(queries)).toArrow())
+    limit = threshold - (10.0**-digits if digits is not None else 0.0) - 1e-9
+    met = packed.few_join(asked, packed.normalised(packed.counted(index)), keep=lambda g: g["x"] >= limit)
+    return _rounded(met.select("doc1", "doc2", F.col("x").alias("sim")), threshold, digits)
+
+
+def _few_tfidf(queries: DataFrame, index: DataFrame, threshold: float, digits: int | None, sublinear: bool) -> DataFrame:
+    """tfidf_join with a small query side. The queries' and the commonest features' weights go
+    to every executor; of the other features, which few documents hold, only what they add to
+    each document's norm is summed by a join."""
+    n = sum(c.select(F.count(F.lit(1))).first()[0] for c in (queries, index))
+    tf = F.transform("w", lambda x: F.ln(x) + 1 if sublinear else x).alias("w")
+    asked, _ = store(packed.counted(queries).select("id", "f", tf), "asked")
+    held, _ = store(packed.counted(index).select("id", "f", tf), "held")
+    df, _ = store(asked.select(F.explode("f").alias("f")).unionByName(held.select(F.explode("f").alias("f"))).groupBy("f").agg(F.count("*").alias("df")), "df")
+    own = df.join(F.broadcast(asked.select(F.explode("f").alias("f")).distinct()), "f", "left_semi")
+    known = packed.commonest(df).unionByName(own).distinct().toArrow()
+    factor = lambda x: np.log((1 + n) / (1 + x)) + 1
+    weights = packed.Weights(known["f"].to_numpy(), factor(known["df"].to_numpy()))
+    rest = packed.weighted(held, weights, rest=True).select("id", F.explode(F.arrays_zip("f", "w")).alias("p")).select("id", "p.f", "p.w")
+    rest = rest.join(df, "f").groupBy(F.col("id").alias("doc2")).agg(F.sum(F.pow(F.col("w") * (F.ln((1 + n) / (1 + F.col("df"))) + 1), F.lit(2))).alias("more"))
+    limit = threshold - (10.0**-digits if digits is not None else 0.0) - 1e-9
+    met = packed.few_join(packed.Postings(packed.weighted(asked, weights).toArrow()), packed.weighted(held, weights), keep=lambda g: g["x"] >= limit * np.sqrt(g["z1"] * g["z2"]))
+    sims = met.join(rest, "doc2", "left").select("doc1", "doc2", (F.col("x") / F.sqrt(F.col("z1") * (F.col("z2") + F.coalesce("more", F.lit(0.0))))).alias("sim"))
+    return _rounded(sims, threshold, digits)
+
+
 def tfidf_join(queries: DataFrame, index: DataFrame | None = None, threshold: float = 0.25, double_count_self: bool = False, digits: int | None = None, **kw) -> DataFrame:
     """Cosine of tf-idf vectors fitted on both sides; without an index the diagonal stays."""
+    if index is not None and kw.get("normalise", True) and packed.small(queries):
+        return _few_tfidf(queries, index, threshold, digits, kw.get("sublinear", False))
     fitted = idf(queries, double_count_self=double_count_self) if index is None else idf(queries, index)
     a = tfidf(queries, fitted, **kw)
     return dot_join(a, a if index is None else tfidf(index, fitted, **kw), threshold, digits)

@@ -1,11 +1,12 @@
 """Plans whose cost or result went wrong on large tables or odd rows."""
 
+import random
+
 import duckdb
-from pyspark.sql import functions as F
+import pytest
 
 from retexa import catalog, catalog_io  # noqa: F401 (adds its queries)
-from retexa.functions import text as X
-from retexa.operators import context
+from retexa.operators import context, features, packed, setjoin
 
 
 def saved(spark, path, **tables):
@@ -40,3 +41,54 @@ def test_window_contexts_of_a_long_document(spark, tmp_path):
     # no row on the way holds a document beside a window of it
     plan = context.of_windows(catalog.coll(spark, path, "documents"), 8)._jdf.queryExecution().optimizedPlan().toString()
     assert [x for x in plan.splitlines() if "Generate" in x and "words" in x] == []
+
+
+def texts(n, seed=3):
+    r = random.Random(seed)
+    return [" ".join(f"w{int(r.random() ** 3 * 60)}" for _ in range(r.randint(0, 40))) for _ in range(n)]
+
+
+def collection(spark, tmp_path):
+    items, docs = texts(12, 1), texts(90, 2)
+    for k, item in enumerate(items[:6]):
+        docs[7 * k] = f"{item} {docs[7 * k]}"
+    return saved(spark, tmp_path, benchmark=(list(enumerate(items)), "item_id bigint, text string"), documents=(list(enumerate(docs)), "doc_id bigint, text string"))
+
+
+SMALL_SIDE = ("containment_join", "shared_word_join", "weighted_jaccard", "weighted_containment", "tfidf_cosine", "bow_cosine", "search_vsm_based", "search_set_based", "timed_search", "matching_words", "eval_stats", "eval_stats_strict", "eval_metrics", "eval_thresholds", "feature_selection")
+
+
+@pytest.mark.parametrize("name", SMALL_SIDE)
+def test_small_query_sides_meet_documents_in_place(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(packed, "BROADCAST_FEATURES", 9)  # most weights are joined
+    monkeypatch.setattr(packed, "CELLS", 50)
+    path = collection(spark, tmp_path)
+    assert by_query(spark, name, path) == by_sql(name, path, "benchmark", "documents")
+
+
+@pytest.mark.parametrize("name", ["tfidf_cosine", "weighted_jaccard", "bow_cosine", "containment_join", "feature_selection"])
+def test_what_is_not_small_is_joined(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(packed, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(features, "BROADCAST_KEPT", 3)
+    path = collection(spark, tmp_path)
+    assert by_query(spark, name, path) == by_sql(name, path, "benchmark", "documents")
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    q = spark.createDataFrame([(1, ["a", "b", "c"])], "id bigint, features array<string>")
+    d = spark.createDataFrame([(5, ["a", "x"]), (5, ["b", "b"]), (6, ["c"])], q.schema)
+    got = {(r["doc2"], round(r["sim"], 6)) for r in setjoin.weighted_join(q, d, "weighted_containment", 0.1).collect()}
+    assert got == {(5, 0.5), (6, 1.0)}
+    assert {r["doc2"] for r in setjoin.set_join(q, d, "containment", 0.5).collect()} == {5}
+
+
+def shuffled(spark, df):
+    """Rows that pass an exchange."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_postings_do_not_travel(spark, tmp_path):
+    path = collection(spark, tmp_path)
+    for name in ("containment_join", "weighted_jaccard", "bow_cosine"):
+        assert shuffled(spark, catalog.QUERIES[name](spark, path).where("sim > 2")) <= 2  # the documents' own spread
