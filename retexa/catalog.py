@@ -331,7 +331,8 @@ def bow_cosine(spark, d):
 def word_table(spark, d):
     """(word, vec): the vector whose number is the word's rank by frequency in documents."""
     freq = bags(spark, d, "documents").select(F.explode("features").alias("word")).groupBy("word").agg((-F.count("*")).alias("neg"))
-    rows, _ = ranked(freq, "neg", "word", name="vec_id")
+    # ranges are sampled first, which would count the words twice
+    rows, _ = ranked(store(freq, "words")[0], "neg", "word", name="vec_id")
     vecs = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     return rows.join(vecs, "vec_id").select("word", "vec")
 

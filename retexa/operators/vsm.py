@@ -114,7 +114,7 @@ def _few_tfidf(queries: DataFrame, index: DataFrame, threshold: float, digits: i
     tf = F.transform("w", lambda x: F.ln(x) + 1 if sublinear else x).alias("w")
     asked, _ = store(packed.counted(queries).select("id", "f", tf), "asked")
     held, _ = store(packed.counted(index).select("id", "f", tf), "held")
-    df, _ = store(asked.select(F.explode("f").alias("f")).unionByName(held.select(F.explode("f").alias("f"))).groupBy("f").agg(F.count("*").alias("df")), "df")
+    df = packed.frequencies(asked, held)
     own = df.join(F.broadcast(asked.select(F.explode("f").alias("f")).distinct()), "f", "left_semi")
     known = packed.commonest(df).unionByName(own).distinct().toArrow()
     factor = lambda x: np.log((1 + n) / (1 + x)) + 1
@@ -277,7 +277,15 @@ def mean_vectors(docs: DataFrame, vectors: DataFrame, strict: bool = False) -> D
 
 def tfidf_vectors(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(id, vec): word vectors weighted by normalised tf-idf, over the length."""
-    return weighted_vectors(tfidf(docs, idf(docs)), vectors, lengths(docs))
+    n = docs.select(F.count(F.lit(1))).first()[0]
+    held, _ = store(packed.counted(docs), "held")
+    df = packed.frequencies(held)
+    factor = lambda x: F.ln((1 + n) / (1 + x)) + 1
+    known = packed.commonest(df).toArrow()
+    weights = packed.Weights(known["f"].to_numpy(), np.log((1 + n) / (1 + known["df"].to_numpy())) + 1)
+    scaled = vectors.select(F.xxhash64("word").alias("f"), "vec").join(df, "f").select("f", F.transform("vec", lambda x: x * factor(F.col("df"))).alias("vec"))
+    sums = packed.summed(held, scaled).join(packed.squares(held, df, weights, factor), "id")
+    return sums.select("id", F.transform("vec", lambda x: x / (F.sqrt("z") * F.col("t"))).alias("vec"))
 
 
 def top_components(vectors: DataFrame, k: int) -> np.ndarray:
@@ -309,8 +317,9 @@ def sif_vectors(docs: DataFrame, vectors: DataFrame, freqs: DataFrame, npc: int
     less their projection on the npc leading singular vectors."""
     total = freqs.agg(F.sum("freq").alias("total"))
     share = freqs.crossJoin(F.broadcast(total)).select("feature", (F.lit(a) / (F.lit(a) + F.col("freq") / F.col("total"))).alias("k"))
-    rows = counts(docs).join(share, "feature").select("id", "feature", (F.col("tf") * F.col("k")).alias("w"))
-    base = weighted_vectors(rows, vectors, lengths(docs))
+    scaled = vectors.join(share, vectors["word"] == share["feature"]).select(F.xxhash64("word").alias("f"), F.transform("vec", lambda x: x * F.col("k")).alias("vec"))
+    base = packed.summed(packed.counted(docs), scaled).select("id", F.transform("vec", lambda x: x / F.col("t")).alias("vec"))
+    base, _ = store(base, "base")  # read for its components and again
     if npc <= 0:
         return base
     pc = top_components(base, npc)

@@ -4,9 +4,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from retexa import catalog, catalog_io  # noqa: F401 (adds its queries)
-from retexa.operators import context, features, packed, setjoin
+from retexa.operators import context, features, packed, setjoin, vsm
 
 
 def saved(spark, path, **tables):
@@ -92,3 +93,22 @@ def test_postings_do_not_travel(spark, tmp_path):
     path = collection(spark, tmp_path)
     for name in ("containment_join", "weighted_jaccard", "bow_cosine"):
         assert shuffled(spark, catalog.QUERIES[name](spark, path).where("sim > 2")) <= 2  # the documents' own spread
+
+
+def vector_tables(spark, tmp_path):
+    docs = [*texts(30, 4), "none known"]
+    r = random.Random(5)
+    vecs = [(i, [r.gauss(0, 1) for _ in range(5)], 0) for i in range(25)]
+    return saved(spark, tmp_path, documents=(list(enumerate(docs)), "doc_id bigint, text string"), embeddings=(vecs, "vec_id bigint, embedding array<float>, label int"))
+
+
+@pytest.mark.parametrize("block", [64 << 20, 200])
+def test_word_vectors_are_summed_in_place_and_by_blocks(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(packed, "VECTOR_BYTES", block)
+    monkeypatch.setattr(packed, "BROADCAST_FEATURES", 9)
+    path = vector_tables(spark, tmp_path)
+    assert by_query(spark, "tfidf_embedding_cells", path) == by_sql("tfidf_embedding_cells", path, "documents", "embeddings")
+    docs, vecs = catalog.bags(spark, path, "documents"), catalog.word_table(spark, path)
+    want = {r["id"]: r["vec"] for r in vsm.mean_vectors(docs, vecs).collect()}
+    got = {r["id"]: [x / r["t"] for x in r["vec"]] for r in packed.summed(packed.counted(docs), vecs.select(F.xxhash64("word").alias("f"), "vec")).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(want[k], got[k]))
