@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retexa import catalog, catalog_io  # noqa: F401 (adds its queries)
-from retexa.operators import context, features, packed, setjoin, vsm
+from retexa.operators import context, features, packed, setjoin, vsm, wordvecs
 
 
 def saved(spark, path, **tables):
@@ -112,3 +112,15 @@ def test_word_vectors_are_summed_in_place_and_by_blocks(spark, tmp_path, monkeyp
     want = {r["id"]: r["vec"] for r in vsm.mean_vectors(docs, vecs).collect()}
     got = {r["id"]: [x / r["t"] for x in r["vec"]] for r in packed.summed(packed.counted(docs), vecs.select(F.xxhash64("word").alias("f"), "vec")).collect()}
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(want[k], got[k]))
+
+
+@pytest.mark.parametrize("name", ["subtract_columns", "csls_crosslingual", "nearest_neighbours", "nearest_by_distance", "csls"])
+def test_tiles_of_vectors_keep_pairs_out_of_shuffles(spark, tmp_path, monkeypatch, name):
+    for c in ("BLOCK", "PART", "FULL"):
+        monkeypatch.setattr(wordvecs, c, 9)
+    path = vector_tables(spark, tmp_path)
+    out = catalog.QUERIES[name](spark, path)
+    assert sorted(tuple(r) for r in out.collect()) == by_sql(name, path, "embeddings")
+    if name in ("subtract_columns", "csls_crosslingual"):
+        # both sides meet in one cogroup, and nothing is shuffled after it
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
