@@ -3,11 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from retexa import catalog, catalog_io  # noqa: F401 (adds its queries)
-from retexa.operators import context, features, packed, setjoin, vsm, wordvecs
+from retexa.operators import align, context, features, packed, setjoin, transport, vsm, wordvecs
 
 
 def saved(spark, path, **tables):
@@ -124,3 +125,27 @@ def test_tiles_of_vectors_keep_pairs_out_of_shuffles(spark, tmp_path, monkeypatc
     if name in ("subtract_columns", "csls_crosslingual"):
         # both sides meet in one cogroup, and nothing is shuffled after it
         assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+@pytest.mark.parametrize("gap, terminal", [(-1.0, 0.0), (-2.0, -1.0)])
+def test_alignment_by_rows_is_that_by_diagonals(gap, terminal):
+    r = np.random.default_rng(7)
+    for flip in (False, True):
+        scores = np.where(r.random((40, 6, 15)) < 0.3, 2.0, -1.0)
+        n1, n2 = r.integers(1, 7, 40), r.integers(1, 16, 40)
+        for k in range(40):
+            scores[k, n1[k] :], scores[k, :, n2[k] :] = -1e30, -1e30
+        a, b = align.fill_rows(scores, n1, n2, gap, terminal, flip), align.fill(scores, n1, n2, gap, gap, terminal, flip)
+        assert (a.score == b.score).all()
+        assert [align.trace(a, k, flip) for k in range(40)] == [align.trace(b, k, flip) for k in range(40)]
+
+
+def test_pairs_of_words_need_not_carry_vectors(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, ["a", "b", "c", "z"]), (1, ["b", "d"])], "id bigint, features array<string>")
+    vecs = spark.createDataFrame([(w, [float(i), 1.0]) for i, w in enumerate("abcd")], "word string, vec array<double>")
+    pairs = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "doc1 bigint, doc2 bigint")
+    found = []
+    for most in (transport.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(transport, "BROADCAST_BYTES", most)
+        found.append([sorted(map(tuple, f(pairs, docs, docs, vecs).collect())) for f in (transport.assignment_join, transport.word_movers_distance)])
+    assert found[0] == found[1]
